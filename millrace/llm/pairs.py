@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import NULL_LIKE
+from millrace.functions.text import LABELS, NULL_LIKE
 from millrace.llm import endings
 from millrace.llm.canon import dataset_name
 from millrace.llm.truncation import judge, limits
@@ -29,8 +29,8 @@ SHRINKS, FRAME = 0.25, 24
 #: How a refusal says that it won't, and what it won't do, in four languages.
 DECLINES = re.compile(
     r"\b(?:(?:i|we)(?: a|')?m (?:not able|unable|sorry|not comfortable)|(?:i|we) (?:am|are) (?:unable|sorry|not able)|unable to|not able to|(?:i|we) (?:must|have to|need to) (?:decline|pass|refuse|reject)|"
-    r"(?:can ?not|can't|won't|will not|could not|couldn't|would not|don't|do not|decline to|refuse to)\b.{0,40}?\b(?:rewrite|rewriting|paraphras\w+|assist|help|provide|creat\w+|generat\w+|produc\w+|complet\w+|fulfil\w*|comply|do)|"
-    r"no rewrite|against my|goes against|inappropriate (?:for|to)|as an? (?:ai|language model|assistant)|my apologies|declin\w+|"
+    r"(?:can ?not|can'?t|won'?t|will not|could not|couldn'?t|would not|don'?t|do not|decline to|refuse to)\b.{0,40}?\b(?:rewrite|rewriting|paraphras\w+|assist|help|provide|creat\w+|generat\w+|produc\w+|complet\w+|fulfil\w*|comply|do)|"
+    r"no rewrite|(?:is|goes|are) against|against (?:my|our|the) \w+|inappropriate (?:for|to)|as an? (?:ai|language model|assistant)|my apologies|declin\w+|"
     r"kann ich (?:leider )?nicht|tut mir leid|nicht in der lage|lehne ich ab|no puedo|lo siento|me niego|je ne peux pas|désolée?|je refuse|impossible de)",
     re.I,
 )
@@ -39,6 +39,8 @@ OBJECT = re.compile(
     r"umformulier\w+|anfrage|inhalt\w*|texte?n?|reescrib\w+|solicitud|contenido|réécri\w+|demande|contenu)\b",
     re.I,
 )
+#: A label that generated text may begin with; what follows it is the response.
+LABEL = re.compile(r"^\s*(?:" + "|".join(LABELS) + r")\s*:\s*", re.I)
 QUOTES = str.maketrans({"’": "'", "‘": "'"})
 
 
@@ -55,7 +57,7 @@ def caption_of(prompt: str) -> str:
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
-    letters = re.sub(r"[\W_]+", " ", response).strip().lower()
+    letters = re.sub(r"[\W_]+", " ", LABEL.sub("", response)).strip().lower()
     return not letters or letters in {re.sub(r"[\W_]+", " ", x) for x in NULL_LIKE} or bool(endings.ERROR.match(response))
 
 
@@ -69,10 +71,11 @@ def shrinks(response: bytes, prompt: bytes) -> bool:
 
 
 def is_copy(response: str, prompt: str) -> bool:
-    r, p = canonical(response), canonical(prompt)
-    if not r or len(r) > len(p) or not shrinks(r.encode(), p.encode()):
-        return False
-    return r in (canonical(caption_of(prompt)), p)
+    p = canonical(prompt)
+    for r in {canonical(response), canonical(LABEL.sub("", response))}:
+        if r and len(r) <= len(p) and shrinks(r.encode(), p.encode()) and r in (canonical(caption_of(prompt)), p):
+            return True
+    return False
 
 
 def is_refusal(response: str) -> bool:
