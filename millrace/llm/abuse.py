@@ -25,7 +25,13 @@ from millrace.llm.canon import dataset_name
 from millrace.session import spread, table
 
 #: Most labelled texts that the model is fitted on.
-LABELLED = 20_000
+LABELLED = 15_000
+#: Unlabelled texts per labelled one that the model also sees, their weight, and the log odds from which they are left out.
+BACKGROUND, BACKGROUND_WEIGHT, DOUBT = 1, 0.1, 0.8
+#: Log odds beyond which a text on the right side teaches nothing more.
+MARGIN = 2.5
+#: n-grams seen less often among the labelled texts carry no weight.
+RARE = 3
 WINDOW = 10
 GRAMS = 4
 DIM = 1 << 19
@@ -39,21 +45,25 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 _FOLD = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE, "") | {"’": "'", "‘": "'", "‑": "-"})
 _LEET = str.maketrans(LEET)
 TOKEN = re.compile(r"https?://\S+|[#@]?\w[\w*@$'-]*(?:[.!|+][\w*@$]+)*|\$\w+")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ ]){3,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]\s){3,}[^\W_](?!\w)")
 JOINED = re.compile(r"^(?:[^\W_][-_.*'])+[^\W_]$")
 REPEAT = re.compile(r"(.)\1{2,}")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes as Latin letters, invisible characters gone, letters spaced apart joined."""
+    """Lower case, look-alikes as Latin letters, invisible characters gone."""
     t = text.lower()
-    if not t.isascii():
-        t = t.translate(_FOLD)
-    return SPACED.sub(lambda m: m.group().replace(" ", ""), t) if SPACED.search(t) else t
+    return t if t.isascii() else t.translate(_FOLD)
+
+
+def chunks(text: str) -> list[str]:
+    """The white-space separated parts in lower case; letters that stand apart, four or more in a row, are joined."""
+    t = text.lower()
+    return (SPACED.sub(lambda m: "".join(m.group().split()), t) if SPACED.search(t) else t).split()
 
 
 def words(text: str) -> list[str]:
-    return TOKEN.findall(fold(text))
+    return [w for c in chunks(text) for w in TOKEN.findall(fold(c))]
 
 
 @dataclass
@@ -78,7 +88,7 @@ class Lexicon:
 
     def may_match(self, word: str) -> bool:
         """Whether any term can be within one edit: both then share a form with at most one letter deleted."""
-        return "*" in word or word in self.near or any(word[:i] + word[i + 1 :] in self.near for i in range(len(word)))
+        return "*" in word or word in self.near or not self.near.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))])
 
     def match(self, word: str) -> str | None:
         """The term within one edit of the word (two from eight letters on if it has stars); `*` stands for any letter.
@@ -119,41 +129,43 @@ class Reader:
 
     known: frozenset[str]
     lexicon: Lexicon
-    memo: dict[str, int] = field(default_factory=dict)
+    memo: dict[str, list[int]] = field(default_factory=dict)
 
     def plain(self, w: str) -> str:
         """Known words stay, disguised or misspelt terms become terms; links, handles, numbers and rare words are masked."""
-        if w.startswith(("http", "@", "#")):
-            return "<ref>"
         if w in self.known or w in self.lexicon.terms:
             return w
+        if w[0] in "@#" or w.startswith("http"):
+            return "<ref>"
         if w.isdigit():
             return "<num>"
-        forms = [w]
-        if JOINED.match(w):
-            forms.append(re.sub(r"[-_.*']", "", w))
-        bare = re.sub(r"(?<=\w)[-_.'](?=\w)", "", w)
-        forms += [bare, bare.translate(_LEET)]
-        if "1" in bare:
-            forms.append(bare.replace("1", "l").translate(_LEET))
-        forms += [REPEAT.sub(r"\1", f) for f in forms] + [REPEAT.sub(r"\1\1", f) for f in forms]
-        for f in dict.fromkeys(forms):
+        if w.isalpha():
+            forms = [w]
+        else:
+            bare = re.sub(r"(?<=\w)[-_.'](?=\w)", "", w)
+            forms = [re.sub(r"[-_.*']", "", w)] if JOINED.match(w) else []
+            forms += [w, bare, bare.translate(_LEET)]
+            if "1" in bare:
+                forms.append(bare.replace("1", "l").translate(_LEET))
+        if REPEAT.search(w):
+            forms += [REPEAT.sub(r"\1", f) for f in forms] + [REPEAT.sub(r"\1\1", f) for f in forms]
+        for f in forms:
             if f in self.lexicon.terms or f in self.known:
                 return f
-        for f in dict.fromkeys(forms):
+        for f in forms:
             if t := self.lexicon.match(f):
                 return t
         return "<rare>"
 
     def ids(self, text: str) -> list[int]:
         memo, out = self.memo, []
-        for w in words(text):
-            i = memo.get(w)
-            if i is None:
-                if len(memo) > 500_000:
+        for c in chunks(text):
+            got = memo.get(c)
+            if got is None:
+                if len(memo) > 300_000:
                     memo.clear()
-                i = memo[w] = zlib.crc32(self.plain(w).encode()) | 1
-            out.append(i)
+                got = memo[c] = [zlib.crc32(self.plain(w).encode()) | 1 for w in TOKEN.findall(fold(c))]
+            out += got
         return out
 
 
@@ -202,16 +214,18 @@ def window_sums(ids: np.ndarray, first: np.ndarray, lens: np.ndarray, weights: n
     """For each word, the summed weights of the n-grams that end in the WINDOW words up to it."""
     start = np.repeat(first, lens)
     g = grams(ids, start)
-    s = np.where(g >= 0, weights[g], 0.0).sum(axis=1)
+    s = np.where(g >= 0, weights[g], 0.0).sum(axis=1, dtype=np.float64)
     c = np.concatenate([[0.0], np.cumsum(s)])
     i = np.arange(len(ids))
     return c[i + 1] - c[np.maximum(start, i + 1 - WINDOW)]
 
 
-def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozenset[str], seed: int = 3, epochs: int = 12) -> Model:
+def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozenset[str], background: list[str] = (), seed: int = 3, epochs: int = 8) -> Model:
     """Logistic regression on the best windows; terms start from their given weights, so few labels still score.
 
-    `labelled`: (text, 0 or 1). `terms`: lexicon terms with weights between 0 and 1.
+    `labelled`: (text, 0 or 1). `terms`: lexicon terms with weights between 0 and 1. `background`: unlabelled
+    texts, most of them harmless; from half of the epochs on they weigh a little as harmless ones, except those
+    that the model by then finds abusive. They keep rare harmless words from looking telling.
     """
     rng = np.random.default_rng(seed)
     # words that reviewers' labels show to be telling join the lexicon
@@ -230,20 +244,28 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
     for t, x in terms.items():
         ids = np.array([zlib.crc32(t.encode()) | 1], np.int64)
         w[grams(ids, np.zeros(1, np.int64))[0, 0]] = 3.0 * x
-    bias = -1.5
+    bias = -2.5
     rows = [(r, y) for t, y in labelled if (r := reader.ids(t))]
+    n_labelled = len(rows)
     if rows and len({y for _, y in rows}) == 2:
+        rows += [(r, 0) for t in background if (r := reader.ids(t))]
         lens = np.array([len(r) for r, _ in rows])
         first = np.concatenate([[0], np.cumsum(lens)])[:-1]
         ids = np.fromiter((i for r, _ in rows for i in r), np.int64)
         y = np.array([v for _, v in rows], float)
         g = grams(ids, np.repeat(first, lens))
         g[g < 0] = DIM
-        acc = np.full(DIM + 1, 1e-2)
-        balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        balance = np.clip(balance, 0.5, 2.0)
+        seen = np.bincount(g[: lens[:n_labelled].sum()].ravel(), minlength=DIM + 1)
+        g[seen[g] < (2 if n_labelled < 500 else RARE)] = DIM  # what one text alone has teaches nothing
+        acc = np.full(DIM + 1, 1.0)
+        weight = np.where(np.arange(len(y)) < n_labelled, 1.0, BACKGROUND_WEIGHT)
+        used = np.arange(n_labelled)
         for epoch in range(epochs):
-            for pick in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
+            if epoch == epochs // 2 and len(rows) > n_labelled:
+                rest = np.arange(n_labelled, len(rows))
+                z = np.maximum.reduceat(window_sums_of(g, first, lens, w), first)[rest] + bias
+                used = np.concatenate([used, rest[z < DOUBT]])
+            for pick in np.array_split(rng.permutation(used), max(1, len(used) // 128)):
                 sl = np.concatenate([np.arange(first[i], first[i] + lens[i]) for i in pick])
                 f = np.concatenate([[0], np.cumsum(lens[pick])])[:-1]
                 sums = window_sums_of(g[sl], f, lens[pick], w)
@@ -251,15 +273,15 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
                 at = np.arange(len(sl)) - f[own]
                 best = np.array([int(np.argmax(sums[a : a + k])) for a, k in zip(f, lens[pick], strict=True)])
                 z = sums[f + best] + bias
-                d = (y[pick] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * balance[pick]
+                d = (y[pick] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight[pick]
+                d[np.where(y[pick] == 1, z > MARGIN, z < -MARGIN)] = 0.0  # clear cases would only push harmless words down
                 inside = (at <= best[own]) & (at > best[own] - WINDOW) if epoch else np.ones(len(sl), bool)
                 idx = g[sl][inside].ravel()
                 step = np.bincount(idx, np.repeat(d[own][inside], GRAMS), DIM + 1)
                 hit = np.flatnonzero(step)
                 hit = hit[hit < DIM]
                 acc[hit] += step[hit] ** 2
-                w[hit] += 0.25 * step[hit] / np.sqrt(acc[hit]) - 1e-4 * w[hit]
-                bias += 0.02 * d.mean()
+                w[hit] += 0.3 * step[hit] / np.sqrt(acc[hit]) - 1e-4 * w[hit]
     return Model(known, lexicon, w[:DIM].astype(np.float32), float(bias))
 
 
@@ -283,8 +305,12 @@ def known_words(texts: DataFrame, column: str) -> frozenset[str]:
             for t in b.column(0).to_pylist():
                 if t:
                     n += 1
-                    count.update(words(t))
-        kept = {w: k for w, k in count.items() if w.replace("-", "").isalpha()}
+                    count.update(t.lower().split())
+        kept: Counter = Counter()
+        for c, k in count.items():
+            for w in TOKEN.findall(fold(c)):
+                if w.replace("-", "").isalpha():
+                    kept[w] += k
         yield pa.RecordBatch.from_arrays([pa.array(["", *kept]), pa.array([n, *kept.values()], pa.int64())], ["word", "n"])
 
     counts = texts.select(column).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {KNOWN_LEAST} or word = ''")
@@ -310,7 +336,11 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, terms: DataF
     if n > LABELLED:
         small = small.where(F.pmod(F.xxhash64("src_table", "row_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * LABELLED / n)))
     pairs = texts.where("value is not null").join(F.broadcast(small), ["src_table", "row_id"]).select("row_id", "value", "abusive").orderBy("row_id", "value").collect()
-    return fit([(r["value"], int(r["abusive"] == 1)) for r in pairs], terms_of(terms), known_words(texts, "value"))
+    every = texts.count()
+    share = min(1.0, BACKGROUND * len(pairs) / max(1, every))
+    drawn = texts.where(F.col("value").isNotNull() & (F.pmod(F.xxhash64("row_id", "src_table", F.lit("background")), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))))
+    background = sorted(r[0] for r in drawn.select("value").collect())
+    return fit([(r["value"], int(r["abusive"] == 1)) for r in pairs], terms_of(terms), known_words(texts, "value"), background)
 
 
 def texts_of(spark: SparkSession, captions: DataFrame, rewrites: DataFrame) -> DataFrame:
