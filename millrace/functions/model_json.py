@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 FIELDS = ("target_group", "visual_evidence", "implicit_meaning")
-SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", parse_error boolean, raw_output string"
+SCHEMA = StructType([StructField(f, StringType()) for f in FIELDS] + [StructField("parse_error", BooleanType()), StructField("raw_output", StringType())])
 
 
 def last_object(text: str) -> str | None:

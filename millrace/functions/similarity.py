@@ -8,11 +8,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions.text import compare_tokens, overlap
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching blocks (2 M / T) of two texts; null counts as empty."""
     for a, b in batches:
@@ -30,7 +31,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """F-measure of the longest common subsequence of the words (space separated, unstemmed)."""
     for a, b in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,15 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
     """Rows dealt over the cores when the source has fewer partitions than that (one small file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * least < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-checkpoints")).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, through a compressed table in the shared folder: smaller than a checkpoint where rows are wide."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
