@@ -32,7 +32,7 @@ class VowelShare:
         out = []
         for t in rows[self.text]:
             letters = [c for c in (t or "").lower() if "a" <= c <= "z"]
-            out.append(round(sum(c in "aeiou" for c in letters) / len(letters), 6) if letters else None)
+            out.append(sum(c in "aeiou" for c in letters) / len(letters) if letters else None)
         return out
 
 

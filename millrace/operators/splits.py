@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import seeded
 
 
+def hash_ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+    """Adds `n_` (rows of the stratum) and `rank_` (from 1, in seeded hash order).
+
+    Rows are ranked inside ranges of the hash, and the counts of the ranges before are added, so a stratum that
+    holds most of the rows is still ranked by many tasks. Null strata are strata of their own.
+    """
+    h = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_r", F.substring("_h", 1, 2))
+    w = Window.partitionBy(*strata).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = h.groupBy(*strata, "_r").agg(F.count("*").alias("_c"))  # at most 256 rows a stratum
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("n_", F.sum("_c").over(Window.partitionBy(*strata))).drop("_c")
+    counts = counts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_r").alias("_q"), "_before", "n_")
+    on = F.col("_r") == F.col("_q")
+    for i, c in enumerate(strata):
+        on = on & h[c].eqNullSafe(F.col(f"_s{i}"))
+    rank = F.row_number().over(Window.partitionBy(*strata, "_r").orderBy("_h", key))
+    out = h.withColumn("_place", rank).join(counts, on).withColumn("rank_", F.col("_place") + F.col("_before"))
+    return out.drop("_h", "_r", "_q", "_place", "_before", *[f"_s{i}" for i in range(len(strata))])
+
+
 def stratified(df: DataFrame, strata: list[str], key: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds `split`: within each stratum max(1, round half even(val n)) rows of val, the same of the rest for test, train else.
 
     Rows are ranked in hash order. A stratum of one row goes to test, of two to val and test.
     """
-    order = Window.partitionBy(*strata).orderBy(seeded(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy(*strata)).cast("double")
+    d = hash_ranked(df, strata, key, seed)
+    n, r = F.col("n_").cast("double"), F.col("rank_").cast("double")
     n_val = F.greatest(F.lit(1.0), F.rint(n * F.lit(val)))
     n_test = F.greatest(F.lit(1.0), F.rint(n * F.lit(1 - train - val)))
     n_train = F.greatest(n - n_val - n_test, F.lit(0.0))
-    r = F.row_number().over(order).cast("double")
-    # places: train first, then val, then test; with too few rows test comes before val
-    return df.withColumn(
-        "split",
-        F.when(r <= n_train, F.lit("train")).when(r <= F.greatest(n - n_test, F.lit(0.0)), F.lit("val")).otherwise(F.lit("test")),
-    )
+    split = F.when(r <= n_train, F.lit("train")).when(r <= F.greatest(n - n_test, F.lit(0.0)), F.lit("val")).otherwise(F.lit("test"))
+    return d.withColumn("split", split).drop("n_", "rank_")
 
 
 def two_way(df: DataFrame, key: str, ratio: float = 0.9, seed: int = 42) -> DataFrame:

@@ -17,7 +17,7 @@ PICTURES = ("jpg", "jpeg", "png", "JPG", "PNG")
 
 def csv_table(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV with a header, embedded line breaks and doubled quotes. Empty cells are null, `NA` is text."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

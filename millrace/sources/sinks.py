@@ -19,7 +19,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def csv_table(df: DataFrame, path: str, columns: list[str], single: bool = False) -> None:
     """The listed columns with a header; others are left out."""
     out = df.select(*columns)
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
