@@ -59,7 +59,7 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """(file, line, value): lines numbered from 1 in each file. A file is read by one task."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 
@@ -84,7 +84,7 @@ def until_bad(lines: DataFrame, schema: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, schema: str = schemas.TWEETS) -> DataFrame:
     """(key, value) of one JSON object that maps keys to records."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("m"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
     return doc.select(F.explode("m").alias("key", "value"))
 
 
