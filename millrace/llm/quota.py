@@ -111,22 +111,22 @@ def sample(rows: DataFrame, targets: DataFrame, strata: list[str], key: str = "r
     """
     spark = rows.sparkSession
     _, _, given, _ = _counted(rows.select(*strata), targets, strata, share)
-    order = random_order(F.col(key), seed)
     given = {c: g for c, g in given.items() if g}
     if not given:
         return rows.limit(0)
-    types = [rows.schema[s].dataType.simpleString() for s in strata]
-    schema = ", ".join(f"`{s}` {t}" for s, t in zip(strata, types, strict=True)) + ", seats_ bigint"
+    by = [f"s{i}" for i in range(len(strata))]
+    schema = ", ".join(f"{b} {rows.schema[s].dataType.simpleString()}" for b, s in zip(by, strata, strict=True)) + ", seats bigint"
     seat = spark.createDataFrame([(*c, g) for c, g in given.items()], schema)
-    keyed = rows.withColumn("order_", order).withColumn("range_", F.substring("order_", 1, RANGE_DIGITS)).join(F.broadcast(seat), strata)
-    w = Window.partitionBy(*strata).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = keyed.groupBy(*strata, "range_").agg(F.count("*").alias("in_"), F.first("seats_").alias("seats_"))  # 16 ** RANGE_DIGITS rows a category
-    ranges = ranges.select(*strata, "range_", "in_", (F.col("seats_") - F.coalesce(F.sum("in_").over(w), F.lit(0))).alias("room_")).where("room_ > 0")
-    near = keyed.drop("seats_").join(F.broadcast(ranges), [*strata, "range_"])
-    whole = near.where("room_ >= in_")
-    r = Window.partitionBy(*strata, "range_").orderBy("order_", key)
-    part = near.where("room_ < in_").withColumn("rank_", F.row_number().over(r)).where("rank_ <= room_").drop("rank_")
-    return whole.unionByName(part).select(*rows.columns)
+    # rows travel as one struct, so that their columns may have any names
+    keyed = rows.select(F.struct("*").alias("row"), *[F.col(s).alias(b) for b, s in zip(by, strata, strict=True)], F.col(key).alias("key"), random_order(F.col(key), seed).alias("order"))
+    keyed = keyed.withColumn("range", F.substring("order", 1, RANGE_DIGITS)).join(F.broadcast(seat), by)
+    w = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = keyed.groupBy(*by, "range").agg(F.count("*").alias("inside"), F.first("seats").alias("seats"))  # 16 ** RANGE_DIGITS rows a category
+    ranges = ranges.select(*by, "range", "inside", (F.col("seats") - F.coalesce(F.sum("inside").over(w), F.lit(0))).alias("room")).where("room > 0")
+    near = keyed.drop("seats").join(F.broadcast(ranges), [*by, "range"])
+    r = Window.partitionBy(*by, "range").orderBy("order", "key")
+    part = near.where("room < inside").withColumn("rank", F.row_number().over(r)).where("rank <= room")
+    return near.where("room >= inside").select("row").unionByName(part.select("row")).select("row.*")
 
 
 def report(rows: DataFrame, targets: DataFrame, strata: list[str], share: float = SHARE) -> DataFrame:
