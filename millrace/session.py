@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What every session of this library runs with; all may be overridden by the cluster.
 DEFAULTS = {
@@ -64,3 +65,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of narrow rows is sent to every executor.
+FEW = 300_000
+
+
+def few_or_not(df: DataFrame, most: int = FEW) -> DataFrame:
+    """The table marked for broadcast if it has at most `most` rows, else as it is; meant for stored tables, whose count is at hand."""
+    return F.broadcast(df) if df.count() <= most else df
