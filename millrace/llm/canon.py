@@ -22,9 +22,9 @@ def ordered_panels(text: Column) -> Column:
     gap = r"(?:[^\p{L}\p{N}]*[^\p{L}\p{N}\s][^\p{L}\p{N}]*|[ \t]*[\r\n]\s*)"
     out = text
     for first, second in PANELS:
-        whole = rf"(?is)^([^\p{{L}}\p{{N}}]*){second}{mark}(.*?){gap}{first}{mark}(.*)$"
-        out = F.when(text.rlike(rf"(?i)^[^\p{{L}}\p{{N}}]*{second}[^\p{{L}}\p{{N}}]"), F.regexp_replace(text, whole, f"{first} $3 {second} $2")).otherwise(out)
-    return out
+        out = F.regexp_replace(out, rf"(?is)^([^\p{{L}}\p{{N}}]*){second}{mark}(.*?){gap}{first}{mark}(.*)$", f"{first} $3 {second} $2")
+    late = "|".join(second for _, second in PANELS)
+    return F.when(text.rlike(rf"(?i)^[^\p{{L}}\p{{N}}]*(?:{late})[^\p{{L}}\p{{N}}]"), out).otherwise(text)
 
 
 def bare(text: Column) -> Column:
@@ -37,9 +37,9 @@ def bare(text: Column) -> Column:
     return F.replace(F.replace(F.regexp_replace(low, _IGNORED, ""), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-def letters(bare_text: Column) -> Column:
-    """Number of letters and digits."""
-    return F.length(F.regexp_replace(bare_text, r"[^\p{L}\p{N}]+", ""))
+def has_letters(text: Column, least: int) -> Column:
+    """Whether there are `least` letters and digits; reads no further than the last of them."""
+    return F.coalesce(text.rlike(rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{least}}}"), F.lit(False))
 
 
 def dataset_name(name: Column) -> Column:
@@ -49,9 +49,9 @@ def dataset_name(name: Column) -> Column:
 
 def clean_path(path: Column) -> Column:
     """A file path in its shortest form: forward slashes, no `.`, no `name/..`, no doubled slashes. Blank gives null."""
-    p = F.regexp_replace(F.trim(path), r"\\", "/")
-    p = F.regexp_replace(p, r"/{2,}", "/")
+    p = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/{2,}", "/")
     p = F.regexp_replace(p, r"(?<=^|/)(?:\./)+", "")
     for _ in range(4):  # nested parents are rare; each round resolves one level
-        p = F.when(p.contains("/../"), F.regexp_replace(p, r"(?:(?<=^|/))(?!\.\./)[^/]+/\.\./", "")).otherwise(p)
+        p = F.regexp_replace(p, r"(?:(?<=^|/))(?!\.\./)[^/]+/\.\./", "")
+    p = F.when(path.rlike(r"\\|//|(?:^|/)\.|^ | $"), p).otherwise(path)  # most paths are clean
     return F.nullif(p, F.lit(""))
