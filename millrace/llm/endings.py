@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 #: Words in at least this share of the texts keep their form in masked contexts.
 FREQUENT = 0.03
+#: Words that are the last one, with no mark after them, this often against their other uses, are known to close texts.
+LAST = 0.3
 DIM = 1 << 18
 TOKEN = re.compile(r"[^\W_]+(?:[-'’‑][^\W_]+)*|[.!?…]+|[,;:|/—–]")
 #: What may follow the end of a complete text: closing marks, emoji, tags and links.
@@ -54,6 +56,8 @@ class Vocabulary:
     known: frozenset[str]
     sorted: list[str]
     frequent: frozenset[str]
+    #: Words that are often the last one, and no beginning of others.
+    last: frozenset[str] = frozenset()
 
     def begins(self, part: str) -> bool:
         """Whether some known word goes on after this beginning."""
@@ -74,22 +78,29 @@ def vocabulary(texts: DataFrame, column: str) -> tuple[Vocabulary, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
+        final: Counter = Counter()
         n = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
+                if t and (w := tokens(t)):
                     n += 1
-                    count.update({w for w in tokens(t)[:-1] if w[0].isalnum()})
-        yield pa.RecordBatch.from_arrays([pa.array(["", *count]), pa.array([n, *count.values()], pa.int64())], ["word", "n"])
-
-    counts = texts.select(column).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where("n >= 3 or word = ''")
+                    count.update({x for x in w[:-1] if x[0].isalnum()})
+                    if w[-1][0].isalnum():
+                        final[w[-1]] += 1
+        names = list(count.keys() | final.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([n, *(count[w] for w in names)], pa.int64()), pa.array([0, *(final[w] for w in names)], pa.int64())], ["word", "n", "final"])
+
+    counts = texts.select(column).mapInArrow(run, "word string, n bigint, final bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
+    rows = counts.where("n >= 3 or final >= 5 or word = ''")
     got = rows.toPandas()
     n = int(got.loc[got["word"] == "", "n"].sum())
-    got = got[(got["word"] != "") & (got["n"] >= max(3, n / 100_000))]
+    got = got[got["word"] != ""]
+    ends = got.loc[(got["final"] >= max(5, n / 100_000)) & (got["final"] >= LAST * got["n"]), "word"]
+    got = got[got["n"] >= max(3, n / 100_000)]
     known = sorted(got["word"])
     frequent = frozenset(got.loc[got["n"] >= FREQUENT * max(1, n), "word"])
-    return Vocabulary(frozenset(known), known, frequent), n
+    v = Vocabulary(frozenset(known), known, frequent)
+    return Vocabulary(v.known, v.sorted, v.frequent, frozenset(w for w in ends if not v.begins(w))), n
 
 
 def features(text: str, v: Vocabulary) -> list[int]:
@@ -123,6 +134,9 @@ class Model:
         """Log odds that the text is complete, whatever mark it ends with."""
         s = stem(text).rstrip(".!?…").rstrip()
         f = features(s, self.vocabulary)
+        closing = tokens(s[-60:])
+        if closing and closing[-1] in self.vocabulary.last:
+            return max(0.0, float(self.weights[f].sum()) + self.bias)
         return float(self.weights[f].sum()) + self.bias
 
 
