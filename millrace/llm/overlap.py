@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.canon import bare, clean_path, dataset_name, letters, ordered_panels
-from millrace.session import cut
+from millrace.llm.canon import bare, clean_path, dataset_name, has_letters, ordered_panels
+from millrace.session import few_or_not, stored
 
 WORDS_PER_EDIT = 6
 #: Texts with fewer letters and digits count as none.
@@ -32,7 +32,13 @@ LEAST = 12
 #: Longest segment, in words.
 LONGEST = 24
 #: Bits of the filter (a power of two), whatever the size of the evaluation splits.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
+#: Tasks that make the filter, at most: each hands the driver one, to be united there.
+FILTER_TASKS = 16
+#: Segments that one task enters into the filter.
+KEYS_PER_TASK = 4_000_000
+#: Numbers of words, and places, that share a band in the filter.
+BAND = 6
 #: A bigram is counted one by one from this share of the training texts on; rarer ones tell as much as that.
 COMMON = 1e-4
 
@@ -50,7 +56,7 @@ def word_ids(text: str, memo: dict[str, int]) -> list[int]:
             if len(memo) > 300_000:
                 memo.clear()
             plain = re.sub(r"[\W_]+", "", w)
-            h = memo[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True)
+            h = memo[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=4).digest(), "little", signed=True)
         out.append(h)
     return out
 
@@ -91,7 +97,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a list column as one array, each list's first place and length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ends = column.offsets.to_numpy().astype(np.int64)
-    ids = column.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+    ids = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64).view(np.uint64)
     return ids, ends[:-1] - ends[0], np.diff(ends)
 
 
@@ -112,6 +118,12 @@ def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys & mask, (keys >> np.uint64(34)) & mask
 
 
+def _banded(keys: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of the filter: a segment with a band of text lengths and one of places."""
+    with np.errstate(over="ignore"):
+        return _mix(keys + (size.astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64) + np.uint64(1)) * _N)
+
+
 def _bigrams(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word the hash of it and of it with the word before (of the word alone at the beginning of a text)."""
     with np.errstate(over="ignore"):
@@ -175,37 +187,37 @@ def _tell(ids: np.ndarray, first: np.ndarray, n: np.ndarray, stats) -> np.ndarra
     return np.clip(np.log(np.maximum(base, least) / pair), 0.0, -np.log(COMMON))
 
 
-def prepared(rows: DataFrame, text: str, path: str) -> DataFrame:
-    """Adds `class` (a digest of the text without its formatting, null if there is none), `plain` (panels in order), `file`."""
-    b = bare(F.col(text))
-    return (
-        rows.withColumn("bare_", b)
-        .withColumn("class", F.when(letters(F.col("bare_")) >= LEAST, F.unhex(F.md5("bare_"))))
-        .withColumn("plain", F.when(F.col("class").isNotNull(), ordered_panels(F.col(text))))
-        .withColumn("file", clean_path(F.col(path)))
-        .drop("bare_")
-    )
+def has_text(text):
+    return has_letters(text, LEAST)
+
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """(id, class, plain) of the rows with a text: a digest of it without its formatting, and the text with panels in order."""
+    t = rows.where(has_text(F.col("text")))
+    return t.select("id", F.unhex(F.md5(bare(F.col("text")))).alias("class"), ordered_panels(F.col("text")).alias("plain"))
 
-def tokenized(classes: DataFrame) -> DataFrame:
-    """(class, ids, n, s1, s2): word hashes of each class's text, their number, and the two halves of the parity signature."""
+
+def tokenized(rows: DataFrame) -> DataFrame:
+    """(class, ids, n, sig) of the classes of `prepared` rows, a class being known by its smallest row id.
+
+    Word hashes of one of its texts, their number, and for 64 kinds of words whether their number is odd.
+    """
+    classes = rows.groupBy("class").agg(F.min("id").alias("cid"), F.min("plain").alias("plain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for b in batches:
             rows = [word_ids(t, memo) for t in b.column(1).to_pylist()]
             n = np.array([len(r) for r in rows], np.int64)
-            flat = np.fromiter((i for r in rows for i in r), np.int64, count=int(n.sum()))
+            flat = np.fromiter((i for r in rows for i in r), np.int32, count=int(n.sum()))
             own = np.repeat(np.arange(len(n)), n)
-            bit = (_mix(flat.view(np.uint64)) >> np.uint64(57)).astype(np.int64)
-            odd = np.bincount(own * 128 + bit, minlength=len(n) * 128).reshape(-1, 128) & 1
-            sig = np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+            bit = (_mix(flat.astype(np.int64).view(np.uint64)) >> np.uint64(58)).astype(np.int64)
+            odd = np.bincount(own * 64 + bit, minlength=len(n) * 64).reshape(-1, 64) & 1
+            sig = np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)[:, 0]
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(n.astype(np.int32)), pa.array(sig[:, 0]), pa.array(sig[:, 1])], ["class", "ids", "n", "s1", "s2"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(n.astype(np.int32)), pa.array(sig)], ["class", "ids", "n", "sig"])
 
-    return classes.mapInArrow(run, "class binary, ids array<bigint>, n int, s1 bigint, s2 bigint")
+    return classes.select("cid", "plain").mapInArrow(run, "class bigint, ids array<int>, n int, sig bigint")
 
 
 def _statistics(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -237,7 +249,7 @@ def _statistics(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]
 
 
 def _segmented(evals: DataFrame, stats) -> DataFrame:
-    """(key, class, place, length, k, n, s1, s2): a row for each segment of each evaluation class."""
+    """(key, class, place, length, k, n, sig): a row for each segment of each evaluation class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st = stats.value
@@ -259,35 +271,39 @@ def _segmented(evals: DataFrame, stats) -> DataFrame:
                 key[at] = _key(runs[begin[at]], length)
             who = own[begin]
             cols = b.take(pa.array(who))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), cols.column(0), pa.array((begin - first[who]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(edits_allowed(n[who]).astype(np.int32)), cols.column(2), cols.column(3), cols.column(4)],
-                ["key", "class", "place", "length", "k", "n", "s1", "s2"],
-            )
+            place = pa.array((begin - first[who]).astype(np.int32))
+            k = pa.array(edits_allowed(n[who]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), cols.column(0), place, pa.array(size.astype(np.int32)), k, cols.column(2), cols.column(3)], ["key", "class", "place", "length", "k", "n", "sig"])
 
-    return evals.select("class", "ids", "n", "s1", "s2").mapInArrow(run, "key bigint, class binary, place int, length int, k int, n int, s1 bigint, s2 bigint")
+    return evals.select("class", "ids", "n", "sig").mapInArrow(run, "key bigint, class bigint, place int, length int, k int, n int, sig bigint")
 
 
 def _filter(segs: DataFrame) -> np.ndarray:
-    """The bit filter over all segment keys, put together by a sum over its words: of FILTER_BITS bits at any size."""
+    """The bit filter over all segment keys: FILTER_BITS bits from each of FILTER_TASKS tasks at most, at any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 64, np.uint64)
         for b in batches:
-            for s in _slots(b.column(0).to_numpy().view(np.uint64)):
-                np.bitwise_or.at(bits, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-        at = np.flatnonzero(bits)
-        for i in range(0, len(at), 200_000):
-            part = at[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(bits[part].view(np.int64))], ["at", "bits"])
-
-    words = segs.select("key").mapInArrow(run, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+            key, n, k, p = (b.column(i).to_numpy() for i in range(4))
+            key = key.view(np.uint64)
+            low, high, left, right = np.maximum(n - k, 0) // BAND, (n + k) // BAND, np.maximum(p - k, 0) // BAND, (p + k) // BAND
+            for i in range(int((high - low).max(initial=-1)) + 1):
+                for j in range(int((right - left).max(initial=-1)) + 1):
+                    on = (low + i <= high) & (left + j <= right)
+                    for s in _slots(_banded(key[on], (low + i)[on], (left + j)[on])):
+                        np.bitwise_or.at(bits, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        for i, part in enumerate(np.split(bits, 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
+
+    few = segs.select("key", "n", "k", "place").coalesce(min(FILTER_TASKS, 1 + segs.count() // KEYS_PER_TASK))
+    out = np.zeros((16, FILTER_BITS // 64 // 16), np.uint64)
+    for r in few.mapInArrow(run, "part int, bits binary").toLocalIterator():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint64)
+    return out.ravel()
 
 
 def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
-    """(key, class, place, n, s1, s2): the word runs of the training classes that pass the filter."""
+    """(key, class, where, sig): the word runs of the training classes that pass the filter; `where` is place * 2^32 + n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = bits.value
@@ -297,6 +313,7 @@ def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
                 continue
             own = np.repeat(np.arange(len(n)), n)
             room = (first + n)[own] - np.arange(len(ids))
+            band, place = (n // BAND)[own], (np.arange(len(ids)) - first[own]) // BAND
             runs = None
             keys, at = [], []
             for length in range(1, max(lengths, default=0) + 1):
@@ -305,41 +322,39 @@ def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
                     continue
                 i = np.flatnonzero(room >= length)
                 k = _key(runs[i], length)
-                s = _slots(k)[0]
-                on = ((f[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-                i, k = i[on], k[on]
-                s = _slots(k)[1]
-                on = ((f[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-                keys.append(k[on])
-                at.append(i[on])
+                for which in (0, 1):
+                    s = _slots(_banded(k, band[i], place[i]))[which]
+                    on = ((f[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    i, k = i[on], k[on]
+                keys.append(k)
+                at.append(i)
             if not keys:
                 continue
             k, i = np.concatenate(keys), np.concatenate(at)
             cols = b.take(pa.array(own[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), cols.column(0), pa.array((i - first[own[i]]).astype(np.int32)), cols.column(2), cols.column(3), cols.column(4)], ["key", "class", "place", "n", "s1", "s2"]
-            )
+            where = (i - first[own[i]]) * (1 << 32) + n[own[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), cols.column(0), pa.array(where), cols.column(3)], ["key", "class", "where", "sig"])
 
-    return train.select("class", "ids", "n", "s1", "s2").mapInArrow(run, "key bigint, class binary, place int, n int, s1 bigint, s2 bigint")
+    return train.select("class", "ids", "n", "sig").mapInArrow(run, "key bigint, class bigint, where bigint, sig bigint")
 
 
 def near_classes(train: DataFrame, evals: DataFrame) -> DataFrame:
     """(t, e): classes whose texts are near but not the same. Both sides as from `tokenized`."""
     sc = train.sparkSession.sparkContext
     stats = sc.broadcast(_statistics(train))
-    segs = cut(_segmented(evals, stats))
+    segs = stored(_segmented(evals, stats))
     lengths = sorted(r[0] for r in segs.select("length").distinct().collect())  # at most LONGEST
     bits = sc.broadcast(_filter(segs))
-    t = _matching(train, bits, lengths).select("key", F.col("class").alias("t"), F.col("place").alias("tp"), F.col("n").alias("tn"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    e = segs.select("key", F.col("class").alias("e"), "place", "k", "n", "s1", "s2")
+    t = _matching(train, bits, lengths).select("key", F.col("class").alias("t"), "where", F.col("sig").alias("ts"))
+    e = segs.select("key", F.col("class").alias("e"), "place", "k", "n", "sig")
     close = (
-        (F.abs(F.col("tp") - F.col("place")) <= F.col("k"))
-        & (F.abs(F.col("tn") - F.col("n")) <= F.col("k"))
-        & (F.bit_count(F.col("t1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("s2"))) <= 2 * F.col("k"))
-        & (F.col("t") != F.col("e"))
+        (F.abs(F.shiftright("where", 32).cast("int") - F.col("place")) <= F.col("k"))
+        & (F.abs(F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - F.col("n")) <= F.col("k"))
+        & (F.bit_count(F.col("ts").bitwiseXOR(F.col("sig"))) <= 2 * F.col("k"))
     )
-    pairs = e.join(t, "key").where(close).select("t", "e").distinct()
-    both = pairs.join(evals.select(F.col("class").alias("e"), F.col("ids").alias("ei")), "e").join(train.select(F.col("class").alias("t"), F.col("ids").alias("ti")), "t")
+    pairs = few_or_not(stored(e.join(t, "key").where(close).select("t", "e").distinct()))
+    both = pairs.join(evals.select(F.col("class").alias("e"), F.col("ids").alias("ei")), "e")
+    both = few_or_not(stored(both)).join(train.select(F.col("class").alias("t"), F.col("ids").alias("ti")), "t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,7 +362,7 @@ def near_classes(train: DataFrame, evals: DataFrame) -> DataFrame:
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["t", "e"])
 
-    return both.select("t", "e", "ei", "ti").mapInArrow(verify, "t binary, e binary")
+    return both.select("t", "e", "ei", "ti").mapInArrow(verify, "t bigint, e bigint")
 
 
 def overlaps(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str = "text", path: str = "image_path") -> DataFrame:
@@ -358,18 +373,22 @@ def overlaps(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str
     digits are none; a null or blank path names no file. Repeated rows make their own pairs. Empty tables give
     no pairs. Whole texts are compared, whatever their length.
     """
-    # lineage is cut once: canonical forms are used five times below
-    a = cut(prepared(train.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")), "text", "path").select("id", "class", "plain", "file"))
-    b = cut(prepared(evals.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")), "text", "path").select("id", "class", "plain", "file"))
-    ta, tb = (cut(tokenized(x.where("class is not null").groupBy("class").agg(F.min("plain").alias("plain")).select("class", "plain"))) for x in (a, b))
-    ca, cb = (x.where("class is not null").select("id", "class") for x in (a, b))
-    ea, eb = ca.select(F.col("id").alias("train_row"), F.col("class").alias("t")), cb.select(F.col("id").alias("eval_row"), F.col("class").alias("e"))
-    same = ea.join(eb, F.col("t") == F.col("e")).select("train_row", "eval_row", F.lit("same").alias("kind"))
-    near = near_classes(ta, tb)
-    near = near.join(eb, "e").join(ea, "t").select("train_row", "eval_row", F.lit("near").alias("kind"))
-    fa = a.where("file is not null").select(F.col("id").alias("train_row"), "file", F.col("class").isNull().alias("tn"))
-    fb = b.where("file is not null").select(F.col("id").alias("eval_row"), "file", F.col("class").isNull().alias("en"))
-    picture = fa.where("tn").join(fb, "file").unionByName(fa.where("not tn").join(fb.where("en"), "file")).select("train_row", "eval_row", F.lit("picture").alias("kind"))
+    rows_a, rows_b = (x.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")) for x in (train, evals))
+    # canonical forms are used several times below, so they are kept
+    a, b = stored(prepared(rows_a)), stored(prepared(rows_b))
+    ca, cb = (x.select("id", "class") for x in (a, b))
+    same = ca.withColumnRenamed("id", "train_row").join(cb.withColumnRenamed("id", "eval_row"), "class").select("train_row", "eval_row", F.lit("same").alias("kind"))
+    near = few_or_not(stored(near_classes(stored(tokenized(a)), stored(tokenized(b)))))
+    # classes are known by their smallest row: its digest leads from a pair of classes to all their rows
+    near = near.join(ca.select(F.col("id").alias("t"), F.col("class").alias("tc")), "t").join(cb.select(F.col("id").alias("e"), F.col("class").alias("ec")), "e").where("tc <> ec")
+    near = few_or_not(stored(near.select("tc", "ec"))).join(cb.select(F.col("id").alias("eval_row"), F.col("class").alias("ec")), "ec").select("tc", "eval_row")
+    near = few_or_not(stored(near)).join(ca.select(F.col("id").alias("train_row"), F.col("class").alias("tc")), "tc")
+    near = near.select("train_row", "eval_row", F.lit("near").alias("kind"))
+    fa = rows_a.select(F.col("id").alias("train_row"), clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("tt")).where("file is not null")
+    fb = rows_b.select(F.col("id").alias("eval_row"), clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("et")).where("file is not null")
+    mute_a, mute_b = (few_or_not(stored(x)) for x in (fa.where("not tt").select("train_row", "file"), fb.where("not et").select("eval_row", "file")))
+    picture = fb.select("eval_row", "file").join(mute_a, "file").select("train_row", "eval_row")
+    picture = picture.unionByName(fa.join(mute_b, "file").where("tt").select("train_row", "eval_row")).withColumn("kind", F.lit("picture"))
     return same.unionByName(near).unionByName(picture)
 
 
