@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from millrace.functions.text import compare_tokens, overlap
+from millrace.functions.text import overlap
 
 
 @F.pandas_udf(DoubleType())
@@ -52,8 +52,6 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def rouge_n(a: Column, b: Column, n: int) -> Column:
-    """F-measure of the multiset overlap of word n-grams (unstemmed); 0 if either has none."""
-    x, y = ngrams(compare_tokens(a), n), ngrams(compare_tokens(b), n)
-    m = F.size(x) + F.size(y)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * overlap(x, y) / m).otherwise(F.lit(0.0))
+def rouge_n(x: Column, y: Column) -> Column:
+    """F-measure of the multiset overlap of two arrays of n-grams (unstemmed); 0 if either is empty."""
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * overlap(x, y) / (F.size(x) + F.size(y))).otherwise(F.lit(0.0))

@@ -147,9 +147,8 @@ def compare_tokens(x: Column | str) -> Column:
     return F.filter(F.split(compare_form(x), " "), lambda t: t != "")
 
 
-def token_change(a: Column | str, b: Column | str) -> Column:
-    """Share of words changed between two texts: 0 for both empty, 1 for one empty."""
-    x, y = compare_tokens(a), compare_tokens(b)
+def word_change(x: Column, y: Column) -> Column:
+    """Share of words changed between two word arrays: 0 for both empty, 1 for one empty."""
     n, m = F.size(x), F.size(y)
     return (
         F.when((n == 0) & (m == 0), F.lit(0.0))
@@ -158,6 +157,11 @@ def token_change(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def token_change(a: Column | str, b: Column | str) -> Column:
+    """`word_change` of two texts in the form they are compared in."""
+    return word_change(compare_tokens(a), compare_tokens(b))
+
+
 def collapsed(x: Column | str) -> Column:
     """Degenerate text: at most one word, or few distinct words among six or more, or two characters repeated."""
     c = strip_ws(F.coalesce(_c(x), F.lit("")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.similarity import char_similarity
+from millrace.session import once
 
 
 @dataclass(frozen=True)
@@ -97,12 +98,16 @@ def reject_rewrites(g: Gate, sta: Column, similar: Column, drop: Column, origina
     )
 
 
-def format_rules(rewrite: Column, original: Column, lexical: float = 0.0, char: float = 1.0) -> list[Rule]:
-    """Rules of a usable rewrite, in order. The character guard (char < 1) runs in Python, the others don't."""
+def format_parts(rewrite: Column, original: Column) -> Column:
+    """What the format rules look at, as one struct: stripped text, its words, both texts in the form they are compared in."""
     t = T.strip_ws(F.coalesce(rewrite, F.lit("")))
-    words = T.tokens(F.lower(t))
+    return F.struct(t.alias("text"), T.tokens(F.lower(t)).alias("words"), T.compare_form(rewrite).alias("new"), T.compare_form(original).alias("old"))
+
+
+def format_rules(parts: Column, lexical: float = 0.0, char: float = 1.0) -> list[Rule]:
+    """Rules of a usable rewrite, in order, over `format_parts`. The character guard (char < 1) runs in Python, the others don't."""
+    t, words, new, old = (parts.getField(f) for f in ("text", "words", "new", "old"))
     n = F.size(words)
-    same = T.compare_form(t) == T.compare_form(original)
     rules = [
         Rule("empty", t == ""),
         Rule("url", t.rlike(T.URL) | t.rlike(T.DOMAIN)),
@@ -113,16 +118,21 @@ def format_rules(rewrite: Column, original: Column, lexical: float = 0.0, char:
         Rule("low_diversity", (n >= 8) & (T.unique_ratio(words) < 0.35)),
         Rule("repetition", (n >= 8) & (T.max_share(words) > 0.45)),
         Rule("symbol_heavy", T.symbol_ratio(t) > 0.35),
-        Rule("no_edit", same),
+        Rule("no_edit", new == old),
     ]
     if lexical > 0:
-        rules.append(Rule("too_similar", T.token_change(original, t) < lexical))
+        rules.append(Rule("too_similar", T.token_change(old, new) < lexical))
     if char < 1:
-        long = F.least(F.length(T.compare_form(t)), F.length(T.compare_form(original))) >= 24
-        rules.append(Rule("too_similar", long & (char_similarity(T.compare_form(original), T.compare_form(t)) > char)))
+        rules.append(Rule("too_similar", (F.least(F.length(new), F.length(old)) >= 24) & (char_similarity(old, new) > char)))
     return rules
 
 
+def with_format_reason(df: DataFrame, rewrite: Column, original: Column, name: str = "format_reason", lexical: float = 0.0, char: float = 1.0) -> DataFrame:
+    """Adds the reason of the first format rule that fails (null: usable); texts are prepared once per row."""
+    d = once(df, "_parts", format_parts(rewrite, original))
+    return d.withColumn(name, reason(format_rules(F.col("_parts"), lexical, char))).drop("_parts")
+
+
 def score_bucket(kept_: Column, score: Column, threshold: float) -> Column:
     """Why a picture was dropped: below the threshold (its rounded score), or not the top label; null if kept."""
     return F.when(~kept_, F.when(F.round(score, 4) < threshold, F.lit("threshold")).otherwise(F.lit("not_top")))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys as K
 from millrace.functions import text as T
-from millrace.operators import dedupe, joins, rank, splits
+from millrace.operators import dedupe, joins, plugins, rank, splits
 from millrace.operators import metrics as M
 from millrace.operators import rules as R
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
 from millrace.plans.rule_queries import conditioned
-from millrace.session import table
+from millrace.session import cut, once, table
 
 P, E, U, TR = "train_pseudo_rewrites_merged", "train_explanations_merged", "unified_train", "train"
 
@@ -403,14 +403,12 @@ def stage_rows(spark, d):
     """The training-set build: filter with reasons, clean, check the format, format the input, split."""
     src = table(spark, d, P)
     kept = R.kept(src, R.training_filter(F.col("explanation.parse_error"), F.col("toxicity_drop")))
-    clean = kept.select(
-        "row_id", "dataset", T.strip_ws("original_text").alias("original_text"), T.sanitize("pseudo_rewrite").alias("target_text"),
+    clean = once(kept, "target_text", T.sanitize("pseudo_rewrite")).select(
+        "row_id", "dataset", T.strip_ws("original_text").alias("original_text"), "target_text",
         *[F.col(f"explanation.{f}").alias(f) for f in ("target_group", "visual_evidence", "implicit_meaning")],
     )
-    # the long chain of replacements is evaluated once, not in each of the rules
-    clean = clean.repartition(clean.sparkSession.sparkContext.defaultParallelism, "row_id")
     good = clean.where((F.col("original_text") != "") & (F.col("target_text") != ""))
-    good = R.kept(good, R.format_rules(F.col("target_text"), F.col("original_text")))
+    good = R.with_format_reason(good, F.col("target_text"), F.col("original_text")).where("format_reason is null").drop("format_reason")
     return splits.two_way(good.withColumn("input_text", conditioned("full")), "row_id")
 
 
@@ -432,3 +430,50 @@ def _(spark, d):
 def _(spark, d):
     g = T.truthy("target_group", F.lit("null"))
     return stage_rows(spark, d).groupBy("split", "dataset").agg(F.count("*").alias("n"), F.count_if(g != "null").alias("with_group"))
+
+
+_SOURCES = " UNION ALL ".join(f"SELECT row_id, id, image_path, lower(regexp_replace(dataset, '[\\s_-]+', '', 'g')) AS dataset, text, hateful FROM {t}" for t in _UNI)
+_KEPT = f"SELECT * FROM ({_SOURCES}) WHERE length(text) BETWEEN 10 AND 300 AND hateful IS NOT NULL AND image_path IN (SELECT image_path FROM {E})"
+
+
+@query("unified_build_stats", f"""SELECT split, dataset, count(*) AS total, sum(hateful)::BIGINT AS hateful, round(100.0::DOUBLE * sum(hateful) / greatest(count(*), 1), 1) AS hateful_pct FROM (
+    SELECT *, CASE WHEN r <= greatest(n - v - t, 0) THEN 'train' WHEN r <= greatest(n - t, 0) THEN 'val' ELSE 'test' END AS split FROM (
+      SELECT *, greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS v, greatest(1, round_even(n * (1::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE), 0)) AS t FROM ({_strata(42, f'({_KEPT})')}))) GROUP BY 1, 2""")
+def _(spark, d):
+    """The unified corpus: three sources under one schema, kept pictures only, length gate, stratified split, statistics."""
+    parts = [table(spark, d, t).select("row_id", "id", "image_path", F.lower(F.regexp_replace("dataset", r"[\s_-]+", "")).alias("dataset"), "text", "hateful") for t in _UNI]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.length("text").between(10, 300) & F.col("hateful").isNotNull())
+    rows = joins.keep(rows, table(spark, d, E), "image_path")
+    return M.split_stats(splits.stratified(rows, ["dataset", "hateful"], "row_id"), "split", "dataset")
+
+
+@query("rewrite_pipeline")
+def _(spark, d):
+    """Rewrites with stand-in models: candidates, cleaning, format rules before scores, gate, best of two attempts."""
+    rows = table(spark, d, E).where("is_hateful").select("row_id", "original_text")
+    gate = R.Gate(sta=0.0, similar=0.1, drop=0.0)
+
+    def generate(todo, attempt):
+        got = plugins.candidates(todo, lambda: plugins.DropWords("original_text"), "row_id", 2 + attempt)
+        c = once(got.withColumnRenamed("rewrite", "raw").join(todo, "row_id"), "rewrite", T.sanitize("raw")).drop("raw")
+        c = R.with_format_reason(c, F.col("rewrite"), F.col("original_text")).withColumn("format_valid", F.col("format_reason").isNull())
+        c = cut(c)  # used by both branches below
+        # scores cost more than rules, so only valid candidates get them
+        scored = plugins.scored(c.where("format_valid"), lambda: plugins.VowelShare("rewrite"), "rewrite_toxicity")
+        c = scored.unionByName(c.where("not format_valid").withColumn("rewrite_toxicity", F.lit(None).cast("double")))
+        c = c.withColumn("sta_score", 1 - F.col("rewrite_toxicity")).withColumn("bertscore", 1 - T.token_change("original_text", "rewrite")).withColumn("toxicity_drop", 0.4 - F.col("rewrite_toxicity"))
+        p = R.gate(gate, F.col("sta_score"), F.col("bertscore"), F.col("toxicity_drop"), F.lit(0.4))
+        return c.withColumns({k: F.col("format_valid") & v for k, v in p.items()})
+
+    passed = F.col("passes_sta") & F.col("passes_bertscore") & F.col("passes_toxicity_delta")
+    best = rank.best(rank.with_retries(rows, "row_id", generate, passed), "row_id", "attempt", "cand")
+    return best.select("row_id", "rewrite", "format_valid", "attempt", "cand", F.round("sta_score", 6).alias("sta_score"), passed.alias("passed"))
+
+
+@query("evaluation_table", f"""SELECT system, count(*) AS n, round(avg(sta_score), 4) AS sta, round(avg(sim), 4) AS sim, round(avg(sta_score) * avg(sim) * avg(ok), 4) AS j FROM (
+    SELECT dataset AS system, sta_score, CASE WHEN NOT isnan(bertscore) THEN bertscore END AS sim, passed_stage1_filters::INTEGER AS ok FROM {P}) GROUP BY 1""")
+def _(spark, d):
+    """Each system's means and their product."""
+    s = F.avg(F.when(~F.isnan("bertscore"), F.col("bertscore")))
+    sta, ok = F.avg("sta_score"), F.avg(F.col("passed_stage1_filters").cast("int"))
+    return table(spark, d, P).groupBy(F.col("dataset").alias("system")).agg(F.count("*").alias("n"), F.round(sta, 4).alias("sta"), F.round(s, 4).alias("sim"), F.round(M.joint(sta, s, F.lit(1.0), ok), 4).alias("j"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.similarity import char_similarity, rouge_l, rouge_n
+from millrace.functions.similarity import char_similarity, ngrams, rouge_l, rouge_n
 from millrace.operators import rules as R
 from millrace.operators.metrics import distribution
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import once, table
 
 REWRITES, CAPTIONS, TRAIN = "train_pseudo_rewrites_merged", "unified_train", "train"
 
@@ -68,18 +68,23 @@ def _(spark, d):
     return table(spark, d, REWRITES).select("row_id", T.collapsed("pseudo_rewrite").alias("collapsed"))
 
 
+def _words(spark, d):
+    rows = table(spark, d, REWRITES).select("row_id", "original_text", "pseudo_rewrite")
+    return once(rows, "x", F.struct(T.compare_tokens("original_text").alias("a"), T.compare_tokens("pseudo_rewrite").alias("b")))
+
+
 _AB = f"SELECT row_id, {D.compare_words('original_text')} AS a, {D.compare_words('pseudo_rewrite')} AS b FROM {REWRITES}"
 
 
 @query("token_change_ratio", f"""SELECT row_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0::DOUBLE
     ELSE 1.0::DOUBLE - {D.overlap('a', 'b')} / greatest(len(a), len(b), 1) END, 6) AS change FROM ({_AB})""")
 def _(spark, d):
-    return table(spark, d, REWRITES).select("row_id", F.round(T.token_change("original_text", "pseudo_rewrite"), 6).alias("change"))
+    return _words(spark, d).select("row_id", F.round(T.word_change(F.col("x.a"), F.col("x.b")), 6).alias("change"))
 
 
 @query("multiset_overlap", f"SELECT row_id, ({D.overlap('a', 'b')})::BIGINT AS shared FROM ({_AB})")
 def _(spark, d):
-    return table(spark, d, REWRITES).select("row_id", T.overlap(T.compare_tokens("original_text"), T.compare_tokens("pseudo_rewrite")).cast("long").alias("shared"))
+    return _words(spark, d).select("row_id", T.overlap(F.col("x.a"), F.col("x.b")).cast("long").alias("shared"))
 
 
 def _rouge_sql(n: int) -> str:
@@ -93,7 +98,9 @@ def _rouge_sql(n: int) -> str:
 def _rouge(n):
     @query(f"rouge{n}", _rouge_sql(n))
     def q(spark, d):
-        return table(spark, d, REWRITES).select("row_id", F.round(rouge_n(F.col("original_text"), F.col("pseudo_rewrite"), n), 6).alias("rouge"))
+        rows = table(spark, d, REWRITES).select("row_id", "original_text", "pseudo_rewrite")
+        grams = once(rows, "x", F.struct(*[ngrams(T.compare_tokens(c), n).alias(a) for c, a in (("original_text", "a"), ("pseudo_rewrite", "b"))]))
+        return grams.select("row_id", F.round(rouge_n(F.col("x.a"), F.col("x.b")), 6).alias("rouge"))
 
 
 _rouge(1)
@@ -107,8 +114,9 @@ def _(spark, d):
 
 @query("char_similarity")
 def _(spark, d):
-    a, b = T.compare_form("original_text"), T.compare_form("pseudo_rewrite")
-    pairs = table(spark, d, REWRITES).select("row_id", a.alias("a"), b.alias("b")).where((F.length("a") >= 24) & (F.length("b") >= 24))
+    rows = table(spark, d, REWRITES).select("row_id", "original_text", "pseudo_rewrite")
+    both = once(rows, "x", F.struct(T.compare_form("original_text").alias("a"), T.compare_form("pseudo_rewrite").alias("b")))
+    pairs = both.select("row_id", "x.a", "x.b").where((F.length("a") >= 24) & (F.length("b") >= 24))
     return pairs.select("row_id", F.round(char_similarity("a", "b"), 6).alias("similarity"))
 
 
@@ -123,7 +131,8 @@ _FORMAT = f"""SELECT row_id, CASE WHEN t = '' THEN 'empty'
 
 
 def _reasons(spark, d):
-    return table(spark, d, REWRITES).select("row_id", R.reason(R.format_rules(F.col("pseudo_rewrite"), F.col("original_text"))).alias("reason"))
+    rows = table(spark, d, REWRITES).select("row_id", "pseudo_rewrite", "original_text")
+    return R.with_format_reason(rows, F.col("pseudo_rewrite"), F.col("original_text"), "reason").select("row_id", "reason")
 
 
 @query("format_validity_reason", _FORMAT)
@@ -138,8 +147,8 @@ def _(spark, d):
 
 @query("format_validity_guarded")
 def _(spark, d):
-    rules = R.format_rules(F.col("pseudo_rewrite"), F.col("original_text"), lexical=0.05, char=0.98)
-    return table(spark, d, REWRITES).select("row_id", R.reason(rules).alias("reason"))
+    rows = table(spark, d, REWRITES).select("row_id", "pseudo_rewrite", "original_text")
+    return R.with_format_reason(rows, F.col("pseudo_rewrite"), F.col("original_text"), "reason", lexical=0.05, char=0.98).select("row_id", "reason")
 
 
 @query("target_group_norm", f"SELECT row_id, {D.target_group('explanation.target_group')} AS grp FROM train_explanations_merged")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What every session of this library runs with; all may be overridden by the cluster.
@@ -95,3 +95,12 @@ FEW = 300_000
 def few_or_not(df: DataFrame, most: int = FEW) -> DataFrame:
     """The table marked for broadcast if it has at most `most` rows, else as it is; meant for stored tables, whose count is at hand."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row, however often later steps use it.
+
+    A projection would be merged into every filter and expression that names the column; a generator of one
+    element is not, and stays in the JVM.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -61,12 +61,12 @@ FORMAT = {
 
 def test_format_rules(spark):
     df = spark.createDataFrame([(i, v, "Hello  WORLD!") for i, v in enumerate(FORMAT)], "i int, v string, o string")
-    got = [r[0] for r in df.select("i", R.reason(R.format_rules(F.col("v"), F.col("o"))).alias("r")).orderBy("i").select("r").collect()]
+    got = [r[0] for r in df.select("i", R.reason(R.format_rules(R.format_parts(F.col("v"), F.col("o")))).alias("r")).orderBy("i").select("r").collect()]
     assert got == list(FORMAT.values())
     words = " ".join(f"w{i}" for i in range(80))
     long = [words[:280].strip(), words[:281] + "x"]
     df = spark.createDataFrame([(v, "o") for v in long], "v string, o string")
-    assert [r[0] for r in df.select(R.reason(R.format_rules(F.col("v"), F.col("o")))).collect()] == [None, "too_long"]
+    assert [r[0] for r in df.select(R.reason(R.format_rules(R.format_parts(F.col("v"), F.col("o"))))).collect()] == [None, "too_long"]
 
 
 def test_training_filter(spark):
