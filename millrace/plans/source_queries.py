@@ -93,15 +93,16 @@ def _(spark, d):
     return S.until_bad(S.numbered_lines(spark, path, "*.txt"), _ROWS).select("record.row_id")
 
 
-@query("json_map_explode", f"SELECT 'r' || row_id AS key, len(v)::BIGINT AS votes, len(list_filter(v, lambda x: x <> 0)) >= 2 AS hateful, text FROM (SELECT row_id, coalesce(text, '') AS text, [row_id % 3, row_id % 4, row_id % 2] AS v FROM {U} WHERE dataset = 'debug')")
+@query("json_map_explode", f"SELECT 'r' || row_id AS key, len(v)::BIGINT AS votes, len(list_filter(v, lambda x: x <> 0)) >= 2 AS hateful, text FROM (SELECT row_id, coalesce(text, '') AS text, [row_id % 3, row_id % 4, row_id % 2] AS v FROM {U})")
 def _(spark, d):
     path = sinks.scratch(spark, "map")
-    rows = table(spark, d, U).where("dataset = 'debug'")
+    rows = table(spark, d, U)
     record = F.struct(F.array(*[(F.col("row_id") % k).cast("int") for k in (3, 4, 2)]).alias("labels"), F.coalesce("text", F.lit("")).alias("tweet_text"))
-    # the document of this source is one object; it is written as one, as the source has it
-    doc = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("r"), F.col("row_id").cast("string")), record)))).alias("value"))
-    doc.write.text(path)
-    m = S.json_map(spark, path)
+    # a document holds at most 500 rows, so no group grows with the table
+    entry = F.struct(F.concat(F.lit("r"), F.col("row_id").cast("string")), record)
+    docs = rows.groupBy(F.floor(F.col("row_id") / 500)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    docs.select("value").write.text(path)
+    m = S.json_map(spark, path, whole=False)
     return m.select("key", F.size("value.labels").cast("long").alias("votes"), (F.size(F.filter("value.labels", lambda x: x != 0)) >= 2).alias("hateful"), F.col("value.tweet_text").alias("text"))
 
 

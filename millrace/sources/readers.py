@@ -82,9 +82,9 @@ def until_bad(lines: DataFrame, schema: str) -> DataFrame:
     return p.where("state = 'object'").join(bad, "file", "left").where("stop is null or line < stop").drop("stop")
 
 
-def json_map(spark: SparkSession, path: str, schema: str = schemas.TWEETS) -> DataFrame:
-    """(key, value) of one JSON object that maps keys to records."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
+def json_map(spark: SparkSession, path: str, schema: str = schemas.TWEETS, whole: bool = True) -> DataFrame:
+    """(key, value) of JSON objects that map keys to records: one per file, or (not `whole`) one per line."""
+    doc = spark.read.text(path, wholetext=whole).select(F.from_json("value", schema).alias("m"))
     return doc.select(F.explode("m").alias("key", "value"))
 
 
