@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Frequent function words.
 FUNCTION_WORDS = {
@@ -21,9 +22,17 @@ OWN = {lang: words - frozenset().union(*(w for other, w in _SETS.items() if othe
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: For each function word, what it counts for each language.
+_WEIGHT = {w: tuple((w in _SETS[lang]) + (w in OWN[lang]) for lang in LANGUAGES) for w in ANY}
+
+
 def language_counts(words: list[str]) -> dict[str, float]:
     """For each language, its function words among `words` (lower case), own ones counting double."""
-    return {lang: sum((w in _SETS[lang]) + (w in OWN[lang]) for w in words) for lang in LANGUAGES}
+    total = [0] * len(LANGUAGES)
+    for w, n in Counter(filter(ANY.__contains__, words)).items():
+        for i, x in enumerate(_WEIGHT[w]):
+            total[i] += n * x
+    return dict(zip(LANGUAGES, total, strict=True))
 
 
 def guess_language(words: list[str], least: float = 3.0, lead: float = 1.5) -> str | None:
