@@ -13,7 +13,7 @@ from millrace.operators import rules as R
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
 from millrace.plans.rule_queries import conditioned
-from millrace.session import cut, once, table
+from millrace.session import cut, once, spread, stored, table
 
 P, E, U, TR = "train_pseudo_rewrites_merged", "train_explanations_merged", "unified_train", "train"
 
@@ -401,7 +401,7 @@ def _(spark, d):
 
 def stage_rows(spark, d):
     """The training-set build: filter with reasons, clean, check the format, format the input, split."""
-    src = table(spark, d, P)
+    src = spread(table(spark, d, P))
     kept = R.kept(src, R.training_filter(F.col("explanation.parse_error"), F.col("toxicity_drop")))
     clean = once(kept, "target_text", T.sanitize("pseudo_rewrite")).select(
         "row_id", "dataset", T.strip_ws("original_text").alias("original_text"), "target_text",
@@ -409,7 +409,8 @@ def stage_rows(spark, d):
     )
     good = clean.where((F.col("original_text") != "") & (F.col("target_text") != ""))
     good = R.with_format_reason(good, F.col("target_text"), F.col("original_text")).where("format_reason is null").drop("format_reason")
-    return splits.two_way(good.withColumn("input_text", conditioned("full")), "row_id")
+    # the split reads its input more than once
+    return splits.two_way(stored(good.withColumn("input_text", conditioned("full"))), "row_id")
 
 
 _CLEAN = f"""SELECT row_id, dataset, {D.strip('original_text')} AS original_text, {D.sanitize('pseudo_rewrite')} AS t,

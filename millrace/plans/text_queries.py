@@ -10,7 +10,15 @@ from millrace.operators import rules as R
 from millrace.operators.metrics import distribution
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
-from millrace.session import once, table
+from millrace.session import once, spread
+from millrace.session import table as scan
+
+
+
+def table(spark, d, name):
+    """Text expressions are heavy: a table in few files is dealt over the cores first."""
+    return spread(scan(spark, d, name))
+
 
 REWRITES, CAPTIONS, TRAIN = "train_pseudo_rewrites_merged", "unified_train", "train"
 
