@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def _segmented(evals: DataFrame, stats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st = stats.value
         for b in batches:
-            keep = pa.compute.greater_equal(b.column(2), WORDS_PER_EDIT)
+            keep = pc.greater_equal(b.column(2), WORDS_PER_EDIT)
             b = b.filter(keep)
             ids, first, n = _flat(b.column(1))
             if not len(ids):
