@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.canon import dataset_name
+from millrace.llm.canon import bare, dataset_name
+from millrace.llm.words import ANY as FUNCTION_WORDS
 from millrace.session import spread, table
 
 #: Most labelled texts that the model is fitted on.
@@ -35,7 +36,7 @@ RARE = 3
 WINDOW = 10
 GRAMS = 4
 DIM = 1 << 19
-#: Words in at least this share of the texts (and KNOWN_LEAST of them) are spelled as they are meant.
+#: Words in at least this share of the distinct texts (and KNOWN_LEAST of them) are spelled as they are meant, but see `trusted`.
 KNOWN, KNOWN_LEAST = 2e-4, 5
 
 #: Letters of other scripts that look like Latin ones; invisible characters; digits and signs read as letters.
@@ -293,32 +294,54 @@ def window_sums_of(g: np.ndarray, first: np.ndarray, lens: np.ndarray, weights:
 
 
 def known_words(texts: DataFrame, column: str) -> frozenset[str]:
-    """Words of letters in at least KNOWN of all texts (KNOWN_LEAST at least): at most 1 / KNOWN times the words of a text.
+    """Words of letters in at least KNOWN of all distinct texts (KNOWN_LEAST at least): at most 1 / KNOWN times the words of a text.
 
-    Partitions sum their own counts before the shuffle.
+    Texts that differ in formatting only (`canon.bare`) count as one, and a word counts once in each, however often
+    it stands there and in whichever of the copies. Equal texts collapse before they are read; what is shuffled then
+    is each text's words, once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        n = 0
+        memo: dict[str, list[str]] = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    n += 1
-                    count.update(t.lower().split())
-        kept: Counter = Counter()
-        for c, k in count.items():
-            for w in TOKEN.findall(fold(c)):
-                if w.replace("-", "").isalpha():
-                    kept[w] += k
-        yield pa.RecordBatch.from_arrays([pa.array(["", *kept]), pa.array([n, *kept.values()], pa.int64())], ["word", "n"])
-
-    counts = texts.select(column).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {KNOWN_LEAST} or word = ''")
+            own, out = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = {""}  # stands for the text itself
+                for c in t.lower().split():
+                    got = memo.get(c)
+                    if got is None:
+                        if len(memo) > 300_000:
+                            memo.clear()
+                        got = memo[c] = [w for w in TOKEN.findall(fold(c)) if w.replace("-", "").isalpha()]
+                    found.update(got)
+                out += found
+                own += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(out, pa.string())], ["canon", "word"])
+
+    distinct = texts.where(F.length(column) > 0).select(F.col(column).alias("value")).distinct()
+    pairs = distinct.select(F.xxhash64(bare(F.col("value"))).alias("canon"), "value").mapInArrow(run, "canon bigint, word string").distinct()
+    counts = pairs.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {KNOWN_LEAST} or word = ''")
     got = counts.toPandas()
     n = int(got.loc[got["word"] == "", "n"].sum())
     return frozenset(got.loc[(got["word"] != "") & (got["n"] >= max(KNOWN_LEAST, KNOWN * n)), "word"])
 
 
+def trusted(known: frozenset[str], labelled: list[tuple[str, int]], terms: Iterable[str]) -> frozenset[str]:
+    """The known words without those that a lexicon term is within one edit of, unless labels show them harmless.
+
+    How often a misspelling stands in the corpus says nothing about what it means. Labels show a word harmless if it
+    stands in a larger share of the harmless texts than of the abusive ones; fixed function words are harmless anyway.
+    """
+    lexicon = Lexicon.of(terms)
+    near = {w for w in known if w not in lexicon.terms and w not in FUNCTION_WORDS and lexicon.match(w)}
+    if not near:
+        return known
+    texts = {(frozenset(words(t)), y) for t, y in labelled}  # copies count once
+    n = Counter(y for _, y in texts)
+    count = {y: Counter(w for t, k in texts if k == y for w in t & near) for y in (0, 1)}
+    return known - {w for w in near if count[0][w] * max(1, n[1]) <= count[1][w] * max(1, n[0])}
+
+
 def terms_of(rows: DataFrame) -> dict[str, float]:
     """Lexicon terms with their weights (null: 0.5); words of multi-word terms don't join it on their own."""
     out: dict[str, float] = {}
@@ -340,7 +363,8 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, terms: DataF
     share = min(1.0, BACKGROUND * len(pairs) / max(1, every))
     drawn = texts.where(F.col("value").isNotNull() & (F.pmod(F.xxhash64("row_id", "src_table", F.lit("background")), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))))
     background = sorted(r[0] for r in drawn.select("value").collect())
-    return fit([(r["value"], int(r["abusive"] == 1)) for r in pairs], terms_of(terms), known_words(texts, "value"), background)
+    labelled, lexicon = [(r["value"], int(r["abusive"] == 1)) for r in pairs], terms_of(terms)
+    return fit(labelled, lexicon, trusted(known_words(texts, "value"), labelled, lexicon), background)
 
 
 def texts_of(spark: SparkSession, captions: DataFrame, rewrites: DataFrame) -> DataFrame:

@@ -332,6 +332,22 @@ def test_abuse_of_odd_tables(spark):
     assert abuse.scored(texts.limit(0), labels, terms).count() == 0
 
 
+def test_known_words_count_distinct_texts(spark):
+    copies = ["She was nkaed nkaed nkaed at noon" + "!" * (i % 7) for i in range(30)] + ["SHE was nkaed, nkaed, nkaed at noon"]
+    other = [f"the baker number {'abcdefghij'[i]} said hello hello" for i in range(6)]
+    known = abuse.known_words(strings(spark, copies + other + [None, ""]), "text")
+    assert {"baker", "hello"} <= known and not {"nkaed", "she", "noon"} & known
+
+
+def test_words_near_terms_need_labels():
+    known = frozenset(["nkaed", "hello", "there", "baker", "naked"])
+    labelled = [(f"hello baker {i}", 0) for i in range(4)] + [("nkaed now", 1)] * 3
+    assert abuse.trusted(known, labelled, ["naked", "hell", "these"]) == known - {"nkaed"}
+    assert abuse.trusted(known, [], ["naked", "hell", "these"]) == known - {"nkaed", "hello"}
+    model = abuse.fit(labelled, {"naked": 0.9}, abuse.trusted(known, labelled, ["naked"]))
+    assert model.reader().plain("nkaed") == "naked"
+
+
 # --- overlaps
 
 
