@@ -233,6 +233,16 @@ def test_readers(spark, tmp_path):
     assert readers.first_existing(spark, [str(tmp_path / "q"), str(tmp_path / "t.tsv")]).endswith("t.tsv")
 
 
+def test_directory_scan_keeps_every_group(spark, tmp_path):
+    from millrace.plans import catalogue
+
+    names = [*(f"name {i}" for i in range(12)), "name-1", "NAME 1", " a/b\t", "", None]
+    rows = [(n,) for i, n in enumerate(names) for _ in range(i + 1)]
+    spark.createDataFrame(rows, "dataset string").write.parquet(f"{tmp_path}/unified_train.parquet")
+    got = {r.dataset: r.n for r in catalogue.queries()["json_directory_scan"](spark, str(tmp_path)).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(names)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     sinks.jsonl(df, str(tmp_path / "j"))
