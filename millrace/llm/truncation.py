@@ -1,7 +1,7 @@
 """Problem 5: texts that lost their end in a field limit or in transfer.
 
-Three kinds of evidence. (1) Near-copies: values that share a min-hash band are compared with the longest value
-of the band; where an aligned pair agrees up to the end of the shorter one and that has no full stop, it stops early. (2) A field
+Three kinds of evidence. (1) Near-copies: each distinct unclosed value is compared with every distinct value of
+its min-hash bands that it can be a beginning of; where an aligned pair agrees up to the end of the shorter one, it stops early. (2) A field
 limit: lengths at which far more values of a source end without a mark than at the lengths around. (3) For all
 others, the terminal-context model (`endings`) scores the closing words.
 """
@@ -15,18 +15,17 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import NULL_LIKE
-from millrace.llm import endings
-from millrace.session import cut, table
+from millrace.llm import endings, overlap
+from millrace.session import few_or_not, stored, table
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Bands and rows of the min-hash: pairs of similarity 0.8 meet in some band with a probability of 0.93.
-BANDS, ROWS = 5, 4
+#: Bands and rows of the min-hash: pairs of similarity 0.8 miss each other in all bands with a probability of 0.0002.
+BANDS, ROWS = 16, 4
 #: Log odds below which a value counts as cut, on the model alone.
 CUT = -4.5
 #: A length is a field limit from this many unclosed values on, if they are LIMIT_TIMES those of the lengths around.
@@ -86,11 +85,21 @@ def stops_early(short: str, long: str) -> bool:
     The aligned words must be at least SIMILAR of those of `short`, and the alignment must end with `short`
     but not with `long`.
     """
-    a, b = ([w for w in endings.tokens(x) if w[0].isalnum()] for x in (short, long))
+    return words_stop_early(*([w for w in endings.tokens(x) if w[0].isalnum()] for x in (short, long)))
+
+
+def words_stop_early(a: list[str], b: list[str], of_b: frozenset[str] | None = None) -> bool:
+    """As `stops_early`, on words; `of_b`: the words of `b`, if they are at hand."""
     if len(a) < SHINGLE or len(b) < len(a):
         return False
     if len(a) == len(b) and not (len(b[-1]) > len(a[-1]) and b[-1].startswith(a[-1])):
         return False
+    # two things that any alignment needs, told without one: enough words in common, and the last two in a row
+    of_b = frozenset(b) if of_b is None else of_b
+    if a[-2] not in of_b or sum(map(of_b.__contains__, a[:-1])) + 1 < SIMILAR * len(a):
+        return False
+    if not any(x == a[-2] and y.startswith(a[-1]) for x, y in zip(b, b[1:], strict=False)):
+        return False
     blocks = [x for x in SequenceMatcher(None, a[:-1], b, autojunk=False).get_matching_blocks() if x.size]
     if not blocks:
         return False
@@ -100,44 +109,125 @@ def stops_early(short: str, long: str) -> bool:
     return whole_tail and sum(x.size for x in blocks) + 1 >= SIMILAR * len(a) and blocks[0].b <= 2
 
 
-def early_copies(values: DataFrame) -> DataFrame:
-    """(vid) of values whose near-copy goes on after their end. `values`: vid bigint, value string.
+def shingles_shared(a: list[str], b: list[str]) -> float:
+    """The share of the five-word runs of `a`, without its last word, that `b` has too: what makes a beginning a near-copy.
+
+    Texts from one template with other words filled in share their words in order, but few such runs.
+    """
+    k = min(SHINGLE, len(a) - 1)
+    runs = [tuple(a[i : i + k]) for i in range(len(a) - k)]
+    of_b = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
+    return sum(r in of_b for r in runs) / len(runs)
+
+
+def end_bit(before: str, last: str) -> int:
+    """The bit, of 128, that stands for a word and the first letter of the next."""
+    return zlib.crc32(f"{before} {last[0]}".encode()) & 127
+
 
-    Each band keeps its shortest and longest member in partial aggregates; only bands with more than two
-    different members are joined back to them, so a band that holds a third of all rows is neither gathered
-    nor paired within itself: every member meets the band's longest, nothing else.
+def ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of bits for each text: for its own last two words, and for any two of its words (see `end_bit`).
+
+    A beginning of a text has its last words there too, the very last one maybe in part: its bit is among the text's.
     """
+    own, every = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), 2), np.uint64)
+    memo: dict[tuple[str, str], int] = {}
+    for i, t in enumerate(texts):
+        words = [w for w in endings.tokens(t) if w[0].isalnum()]
+        bits, bit = 0, 0
+        for pair in zip(words, words[1:], strict=False):
+            k = (pair[0], pair[1][0])
+            bit = memo.get(k, -1)
+            if bit < 0:
+                if len(memo) > 300_000:
+                    memo.clear()
+                bit = memo[k] = end_bit(*pair)
+            bits |= 1 << bit
+        low = (1 << 64) - 1
+        every[i] = bits & low, bits >> 64
+        last = 1 << bit if len(words) > 1 else 0
+        own[i] = last & low, last >> 64
+    return own.view(np.int64), every.view(np.int64)
+
+
+def _band_filter(banded: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over the bands of a stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(overlap.FILTER_BITS // 64, np.uint64)
         for b in batches:
-            found, n = bands(b.column(1).to_pylist())
+            for s in overlap._slots(b.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(bits, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        for i, part in enumerate(np.split(bits, 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
+
+    few = banded.select("band").coalesce(min(overlap.FILTER_TASKS, 1 + banded.count() // overlap.KEYS_PER_TASK))
+    out = np.zeros((16, overlap.FILTER_BITS // 64 // 16), np.uint64)
+    for r in few.mapInArrow(run, "part int, bits binary").toLocalIterator():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint64)
+    return out.ravel()
+
+
+def banded(texts: DataFrame, short: bool, bits=None) -> DataFrame:
+    """(band, tid, n, e0, e1) for every band of the texts (tid, value); the bits of their own end if `short`, else of all word pairs.
+
+    `bits`: a broadcast filter that the bands must pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(1).to_pylist()
+            found, n = bands(values)
             rows = np.flatnonzero(n >= SHINGLE)
-            vid = b.column(0).to_numpy()[rows]
-            size = pc.utf8_length(b.column(1)).to_numpy(zero_copy_only=False)[rows]
+            own = np.repeat(rows, BANDS)
+            band = found[rows].ravel()
+            if bits is not None:
+                for which in (0, 1):
+                    s = overlap._slots(band.view(np.uint64))[which]
+                    on = ((bits.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    own, band = own[on], band[on]
+            some, at = np.unique(own, return_inverse=True)
+            e = ends([values[i] for i in some])[0 if short else 1][at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(vid, BANDS)), pa.array(np.repeat(size, BANDS).astype(np.int32)), pa.array(found[rows].ravel())], ["vid", "size", "band"]
+                [pa.array(band), b.column(0).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(e[:, 0]), pa.array(e[:, 1])], ["band", "tid", "n", "e0", "e1"]
             )
 
-    banded = values.mapInArrow(run, "vid bigint, size int, band bigint")
-    one = F.struct("size", "vid")
-    groups = (
-        banded.groupBy("band")
-        .agg(F.min(one).alias("least"), F.max(one).alias("most"), F.count("*").alias("n"))
-        .where("least.size < most.size")
-        .select("band", F.col("least.vid").alias("vid"), F.col("most.vid").alias("longest"), "n", F.col("most.size").alias("top"))
-    )
-    groups = cut(groups)
-    more = banded.join(groups.where("n > 2").select("band", "longest", "top"), "band").where("size < top").select("vid", "longest")
-    pairs = groups.select("vid", "longest").unionByName(more).distinct()
-    v = values.select("vid", "value")
-    texts = pairs.join(v, "vid").join(v.select(F.col("vid").alias("longest"), F.col("value").alias("long")), "longest")
+    return texts.select("tid", "value").mapInArrow(run, "band bigint, tid bigint, n int, e0 bigint, e1 bigint")
+
+
+def early_copies(shorts: DataFrame, values: DataFrame) -> DataFrame:
+    """(tid) of `shorts` with a near-copy among `values` that goes on after their end. Both: distinct (tid bigint, value string).
+
+    Every short value meets every value of its bands that has as many words or more and, somewhere in it, the last
+    two words of the short one; no partner is left out. Values in none of the bands of `shorts` are not shuffled.
+    A band's pairs grow with the product of its distinct short and long members; adaptive execution splits hot ones.
+    """
+    a = stored(banded(shorts, True))
+    bits = values.sparkSession.sparkContext.broadcast(_band_filter(a))
+    b = banded(values, False, bits).select("band", F.col("tid").alias("longer"), F.col("n").alias("m"), F.col("e0").alias("a0"), F.col("e1").alias("a1"))
+    fits = (F.col("m") >= F.col("n")) & (F.col("tid") != F.col("longer")) & ((F.col("e0").bitwiseAND(F.col("a0")) != 0) | (F.col("e1").bitwiseAND(F.col("a1")) != 0))
+    pairs = stored(a.join(b, "band").where(fits).select("tid", "longer").distinct())
+    texts = pairs.join(shorts.select("tid", "value"), "tid").join(values.select(F.col("tid").alias("longer"), F.col("value").alias("long")), "longer")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[list[str], frozenset[str]]] = {}
+
+        def words(t: str) -> tuple[list[str], frozenset[str]]:
+            if t not in memo:
+                if len(memo) > 20_000:
+                    memo.clear()
+                w = [w for w in endings.tokens(t) if w[0].isalnum()]
+                memo[t] = w, frozenset(w)
+            return memo[t]
+
         for b in batches:
-            vid, short, long = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, x, y in zip(vid, short, long, strict=True) if stops_early(x, y)], pa.int64())], ["vid"])
+            done: set[int] = set()
+            for i, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if i not in done and shingles_shared(words(x)[0], words(y)[0]) >= SIMILAR and words_stop_early(words(x)[0], *words(y)):
+                    done.add(i)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], ["tid"])
 
-    return texts.select("vid", "value", "long").mapInArrow(verify, "vid bigint").distinct()
+    return texts.select("tid", "value", "long").mapInArrow(verify, "tid bigint").distinct()
 
 
 def limits(values: DataFrame, source: str, column: str) -> dict[str, dict[int, float]]:
@@ -204,12 +294,17 @@ def flagged(values: DataFrame) -> DataFrame:
         model, marks = shared.value
         for b in batches:
             got = [judge(t, s, model, marks) for t, s in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            unclosed = [is_value(t) and not endings.closed(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(got, pa.bool_()), pa.array(unclosed, pa.bool_())], ["src_table", "row_id", "dataset", "vid", "own", "open"])
-
-    own = rows.select("src_table", "row_id", "dataset", "value", "source", "vid").mapInArrow(run, "src_table string, row_id bigint, dataset string, vid bigint, own boolean, open boolean")
-    early = early_copies(rows.select("vid", "value")).withColumn("copy", F.lit(True))
-    return own.join(early, "vid", "left").select("src_table", "row_id", "dataset", (F.col("own") | (F.col("open") & F.coalesce("copy", F.lit(False)))).alias("cut"))
+            texts = b.column(3).to_pylist()
+            rest = [t if not g and is_value(t) and not endings.closed(t) else None for t, g in zip(texts, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.bool_()), pa.array(rest, pa.string())], ["src_table", "row_id", "dataset", "own", "rest"])
+
+    # `rest`: unclosed values that only a near-copy can show to be cut
+    own = stored(rows.select("src_table", "row_id", "dataset", "value", "source").mapInArrow(run, "src_table string, row_id bigint, dataset string, own boolean, rest string"))
+    tid = F.xxhash64("value").alias("tid")
+    shorts = own.where("rest is not null").select(F.col("rest").alias("value")).distinct().select(tid, "value")
+    early = few_or_not(stored(early_copies(shorts, rows.select("value").distinct().select(tid, "value"))).withColumn("copy", F.lit(True)))
+    hit = own.withColumn("tid", F.when(F.col("rest").isNotNull(), F.xxhash64("rest"))).join(early, "tid", "left")
+    return hit.select("src_table", "row_id", "dataset", (F.col("own") | F.coalesce("copy", F.lit(False))).alias("cut"))
 
 
 def found(values: DataFrame) -> DataFrame:

@@ -270,6 +270,38 @@ def test_flagged(spark):
     assert truncation.found(rows.limit(0)).count() == 0
 
 
+def test_whole_copy_need_not_be_the_longest(spark):
+    whole = "the baker opened the window in the garden and the nurse laughed at the market because the old bus from the harbour came late again that day with nobody on board at all."
+    short = whole[: whole.index(" on board")]
+    others = [f"{name} wrote to us that {whole[:-12]} and everybody went home by train number {i}" for i, name in enumerate(["ann", "bob", "cleo", "dan"])]
+    values = spark.createDataFrame([(1, short), (2, whole)] + [(i + 3, t) for i, t in enumerate(others)], "tid bigint, value string")
+    assert {r.tid for r in truncation.early_copies(values.where("tid in (1, 2)"), values).collect()} == {1}
+
+
+def test_same_template_is_no_copy(spark):
+    texts = ["the image mocks all people who use a wheelchair every day by placing a shiny toothbrush inside the phone booth", "the image mocks all people who use a wheelchair every day by placing a wireless casserole inside the phone booth while nobody was looking"]
+    values = spark.createDataFrame(list(enumerate(texts)), "tid bigint, value string")
+    assert truncation.early_copies(values, values).count() == 0
+
+
+def test_bands_miss_next_to_nothing():
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(400):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(44)]  # 45 shingles each, 40 of the 50 of both in common
+        pairs += [" ".join(a + [c + str(i) for i in range(5)]) for c in "xy"]
+    found, _ = truncation.bands(pairs)
+    assert (found[::2] == found[1::2]).any(axis=1).mean() > 0.99
+
+
+def test_ends_hold_beginnings():
+    long = "the baker opened the window in the garden and the nurse laughed"
+    every = truncation.ends([long])[1][0]
+    for k in range(8, len(long)):
+        if long[k - 1] != " ":
+            assert (truncation.ends([long[:k]])[0][0] & every).any()
+
+
 # --- abuse
 
 
