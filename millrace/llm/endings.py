@@ -70,37 +70,39 @@ class Vocabulary:
 
 
 def vocabulary(texts: DataFrame, column: str) -> tuple[Vocabulary, int]:
-    """Word counts over all rows (a last word without a mark after it may be a part and isn't counted), and the number of texts.
+    """Word counts over all distinct texts (a last word without a mark after it may be a part and isn't counted), and the number of rows.
 
-    A word is known from max(3, 1/100,000 of the texts) on, which bounds the table by 100,000 times the words of
+    Equal texts count once: copies of a cut one would make its last word one that closes texts. A word is known from max(3, 1/100,000 of the texts) on, which bounds the table by 100,000 times the words of
     a text, whatever the corpus. Each partition sums its own counts before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         final: Counter = Counter()
-        n = 0
+        n = rows = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t and (w := tokens(t)):
                     n += 1
+                    rows += copies
                     count.update({x for x in w[:-1] if x[0].isalnum()})
                     if w[-1][0].isalnum():
                         final[w[-1]] += 1
         names = list(count.keys() | final.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([n, *(count[w] for w in names)], pa.int64()), pa.array([0, *(final[w] for w in names)], pa.int64())], ["word", "n", "final"])
+        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([n, *(count[w] for w in names)], pa.int64()), pa.array([rows, *(final[w] for w in names)], pa.int64())], ["word", "n", "final"])
 
-    counts = texts.select(column).mapInArrow(run, "word string, n bigint, final bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
+    distinct = texts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("copies"))
+    counts = distinct.mapInArrow(run, "word string, n bigint, final bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
     rows = counts.where("n >= 3 or final >= 5 or word = ''")
     got = rows.toPandas()
-    n = int(got.loc[got["word"] == "", "n"].sum())
+    n, total = (int(got.loc[got["word"] == "", c].sum()) for c in ("n", "final"))  # distinct texts, rows
     got = got[got["word"] != ""]
     ends = got.loc[(got["final"] >= max(5, n / 100_000)) & (got["final"] >= LAST * got["n"]), "word"]
     got = got[got["n"] >= max(3, n / 100_000)]
     known = sorted(got["word"])
     frequent = frozenset(got.loc[got["n"] >= FREQUENT * max(1, n), "word"])
     v = Vocabulary(frozenset(known), known, frequent)
-    return Vocabulary(v.known, v.sorted, v.frequent, frozenset(w for w in ends if not v.begins(w))), n
+    return Vocabulary(v.known, v.sorted, v.frequent, frozenset(w for w in ends if not v.begins(w))), total
 
 
 def features(text: str, v: Vocabulary) -> list[int]:

@@ -109,15 +109,20 @@ def words_stop_early(a: list[str], b: list[str], of_b: frozenset[str] | None = N
     return whole_tail and sum(x.size for x in blocks) + 1 >= SIMILAR * len(a) and blocks[0].b <= 2
 
 
-def shingles_shared(a: list[str], b: list[str]) -> float:
+def runs_of(words: list[str], k: int = SHINGLE) -> frozenset[tuple[str, ...]]:
+    return frozenset(zip(*(words[i:] for i in range(k)), strict=False))
+
+
+def shingles_shared(a: list[str], b: list[str], runs_of_b: frozenset[tuple[str, ...]] | None = None) -> float:
     """The share of the five-word runs of `a`, without its last word, that `b` has too: what makes a beginning a near-copy.
 
     Texts from one template with other words filled in share their words in order, but few such runs.
+    `runs_of_b`: the five-word runs of `b`, if they are at hand.
     """
     k = min(SHINGLE, len(a) - 1)
-    runs = [tuple(a[i : i + k]) for i in range(len(a) - k)]
-    of_b = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
-    return sum(r in of_b for r in runs) / len(runs)
+    of_b = runs_of_b if k == SHINGLE and runs_of_b is not None else runs_of(b, k)
+    runs = list(zip(*(a[i : len(a) - 1] for i in range(k)), strict=False))
+    return sum(map(of_b.__contains__, runs)) / len(runs)
 
 
 def end_bit(before: str, last: str) -> int:
@@ -210,20 +215,23 @@ def early_copies(shorts: DataFrame, values: DataFrame) -> DataFrame:
     texts = pairs.join(shorts.select("tid", "value"), "tid").join(values.select(F.col("tid").alias("longer"), F.col("value").alias("long")), "longer")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[list[str], frozenset[str]]] = {}
+        memo: dict[str, tuple[list[str], frozenset[str], frozenset[tuple[str, ...]]]] = {}
 
-        def words(t: str) -> tuple[list[str], frozenset[str]]:
+        def words(t: str) -> tuple[list[str], frozenset[str], frozenset[tuple[str, ...]]]:
             if t not in memo:
                 if len(memo) > 20_000:
                     memo.clear()
                 w = [w for w in endings.tokens(t) if w[0].isalnum()]
-                memo[t] = w, frozenset(w)
+                memo[t] = w, frozenset(w), runs_of(w)
             return memo[t]
 
         for b in batches:
             done: set[int] = set()
             for i, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if i not in done and shingles_shared(words(x)[0], words(y)[0]) >= SIMILAR and words_stop_early(words(x)[0], *words(y)):
+                if i in done:
+                    continue
+                a, (b_words, of_b, runs) = words(x)[0], words(y)
+                if shingles_shared(a, b_words, runs) >= SIMILAR and words_stop_early(a, b_words, of_b):
                     done.add(i)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], ["tid"])
 
@@ -233,11 +241,14 @@ def early_copies(shorts: DataFrame, values: DataFrame) -> DataFrame:
 def limits(values: DataFrame, source: str, column: str) -> dict[str, dict[int, float]]:
     """Field limits: for each source, lengths with the log odds that an unclosed value of that length was cut.
 
-    Lengths of all values are counted; only those that stand out against the lengths around come to the driver.
+    Lengths of all distinct values of a source are counted, so copies of one value make no limit; only lengths that
+    stand out against those around come to the driver.
     """
     lens = (
         values.where(~F.col(column).rlike(r"[.!?…\"”’»')\]]\s*$") & (F.length(column) >= 20))
-        .groupBy(F.col(source).alias("source"), F.length(column).alias("size"))
+        .select(F.col(source).alias("source"), F.length(column).alias("size"), F.xxhash64(column).alias("value"))
+        .distinct()
+        .groupBy("source", "size")
         .agg(F.count("*").alias("n"))
     )
     w = Window.partitionBy("source").orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)

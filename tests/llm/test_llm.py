@@ -302,6 +302,17 @@ def test_ends_hold_beginnings():
             assert (truncation.ends([long[:k]])[0][0] & every).any()
 
 
+def test_copies_make_no_limit_and_no_last_word(spark):
+    copies = ["the baker opened the window and the zeppelin"] * 30
+    other = [f"the nurse number {i} painted the bicycle." for i in range(20)]
+    rows = strings(spark, copies + other + [None]).withColumn("source", F.lit("s"))
+    assert truncation.limits(rows.where("text is not null"), "source", "text") == {}
+    v, n = endings.vocabulary(rows, "text")
+    assert n == 50 and "zeppelin" not in v.last and "opened" not in v.known and "nurse" in v.known
+    many = strings(spark, [f"the tailor {'abcdefghijklmnopqrst'[i]} sold the old lamp" for i in range(20)]).withColumn("source", F.lit("s"))
+    assert list(truncation.limits(many, "source", "text")["s"]) == [len("the tailor a sold the old lamp")]
+
+
 # --- abuse
 
 
