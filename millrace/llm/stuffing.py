@@ -73,7 +73,7 @@ def usual(text: str) -> tuple[str, float, float] | None:
 def signals(text: str, norms: dict[str, tuple[float, float]], full: bool = True) -> dict[str, float]:
     """The measures that the decision uses; `norms`: for each language, the usual shares of function words and of the top word.
 
-    Without `full`, texts that can be told to be no spam by their totals alone come back with that alone.
+    Without `full`, texts that can't be spam whatever the measures still to be taken come back with that alone.
     """
     words, kind_list = parts(text)
     n = len(words)
@@ -87,8 +87,8 @@ def signals(text: str, norms: dict[str, tuple[float, float]], full: bool = True)
     n_function = sum(content.pop(w) for w in content.keys() & ANY)
     top = max(content.values(), default=0) / len(plain) if plain else 0.0
     stuffed = len(plain) >= 30 and top >= max(0.1, 3.5 * top_usual)
-    # half of the text in lists would leave fewer function words than this, and a list of links or tags has some
-    if not full and not stuffed and n_function >= 0.95 * function * n and len(plain) >= 0.9 * n:
+    # no evidence without four links, five tags, a word of offers or a word (or number) that comes three times
+    if not full and not stuffed and max(content.values(), default=0) < 3 and OFFER.isdisjoint(content) and 4 not in kind_list and kind_list.count(1) < 4 and kind_list.count(2) < 5:
         return none
     kinds, sizes = np.array(kind_list, np.int8), np.fromiter(map(len, words), np.int64, n)
     # function words in the window around each token, over the tokens there
@@ -99,6 +99,8 @@ def signals(text: str, norms: dict[str, tuple[float, float]], full: bool = True)
     local = (c[b] - c[a]) / (b - a)
     listed = (kinds == 1) | (kinds == 2) | (local < 0.5 * function)
     share = sizes[listed].sum() / max(1, sizes.sum())
+    if not full and not stuffed and share < 0.5:
+        return none
     inside = [w for w, k, x in zip(words, kinds, listed, strict=True) if x and k >= 3]
     count = Counter(w for w in inside if w not in ANY)
     most = count.most_common(12)

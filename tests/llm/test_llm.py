@@ -483,3 +483,16 @@ def test_stuffing(spark):
     assert {r.doc_id for r in stuffing.found(rows).collect()} == {0, 1, 2, 3, len(SPAM + FINE)}
     assert stuffing.scored(rows).count() == len(SPAM + FINE) + 1
     assert stuffing.found(rows.limit(0)).count() == 0
+
+
+def test_found_decides_as_scores():
+    prose = [w for w in (PROSE * 10).replace(".", "").split() if w.isalpha()][:90]
+    linked = " ".join(w + (" http://" + "x" * 58 + f".example/{i % 10}" if i % 9 == 8 else "") for i, w in enumerate(prose))
+    norms = {"en": (0.4, 0.05), "": (0.4, 0.05)}
+    assert stuffing.signals(linked, norms)["spam"]
+    rng = random.Random(12)
+    pieces = [*SPAM, PROSE, linked, "free shop order ", "a1 b2 12 12 12 7 ", "#tag @me ", "keyword " * 5]
+    for _ in range(300):
+        t = " ".join(rng.choice(pieces)[: rng.randint(5, 400)] for _ in range(rng.randint(1, 6)))
+        assert stuffing.signals(t, norms)["spam"] == stuffing.signals(t, norms, full=False)["spam"]
+    assert stuffing.signals(linked, norms, full=False)["spam"]
