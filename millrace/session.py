@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What every session of this library runs with; all may be overridden by the cluster.
 DEFAULTS = {
@@ -56,17 +58,26 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage, with no lineage behind them.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only on one machine does a temporary folder serve instead.
 
-    Uses the folder that the cluster names in spark.checkpoint.dir. Only where none is named (tests on
-    one machine) a temporary folder is set.
+    On a cluster each executor would write to its own disk and a later read would find a part of the rows, so a
+    missing setting is an error there.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} share no other folder")
+        named = os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder, with no lineage behind them."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -76,25 +87,79 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * least < cores else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-checkpoints")).rstrip("/")
+#: Folders written by this driver that are still there, with the session to delete them by.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_until_release(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder in the shared one, which `release` deletes."""
+    if not _WRITTEN:
+        atexit.unregister(_release_at_exit)
+        atexit.register(_release_at_exit)  # the last one registered runs first, while the JVM is still there
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As `cut`, through a compressed table in the shared folder: smaller than a checkpoint where rows are wide."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = kept_until_release(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that nothing will read any more."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path and (spark := _WRITTEN.pop(path, None)):
+            _delete(spark, path)
+
+
+def release() -> None:
+    """Deletes all that `stored` and the sources' scratch folders hold. For when no result built on them is needed any more."""
+    for path, spark in list(_WRITTEN.items()):
+        del _WRITTEN[path]
+        if spark._jsc is not None and not spark._jsc.sc().isStopped():
+            _delete(spark, path)
+
+
+def _release_at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM may have ended before
+        _WRITTEN.clear()
+
+
+#: Bytes up to which a table is sent to every executor.
+FEW = 16_000_000
 
 
-#: Rows up to which a table of narrow rows is sent to every executor.
-FEW = 300_000
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 24
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 8 + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
 
 
 def few_or_not(df: DataFrame, most: int = FEW) -> DataFrame:
-    """The table marked for broadcast if it has at most `most` rows, else as it is; meant for stored tables, whose count is at hand."""
-    return F.broadcast(df) if df.count() <= most else df
+    """The table marked for broadcast if its rows take at most `most` bytes, else as it is; meant for stored tables, which are cheap to measure."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)).cast("long")
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

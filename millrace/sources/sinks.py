@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import kept_until_release
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place that the cluster names; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder in the shared place that the cluster names; `session.release` deletes it."""
+    return kept_until_release(spark, name)
 
 
 def csv_table(df: DataFrame, path: str, columns: list[str], single: bool = False) -> None:

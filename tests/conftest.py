@@ -8,11 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from millrace.session import build
+    from millrace.session import build, release
 
     s = build("tests", "local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="4g")
     s.sparkContext.setLogLevel("OFF")
     yield s
+    release()
     s.stop()
 
 

@@ -1,7 +1,10 @@
 """Boundary rows of each rule and operator."""
 
 import json
+import os
 import random
+import subprocess
+import sys
 from difflib import SequenceMatcher
 
 import pytest
@@ -14,6 +17,7 @@ from millrace.functions import vectors as V
 from millrace.functions.similarity import char_similarity, rouge_l
 from millrace.operators import dedupe, joins, metrics, plugins, rank, splits
 from millrace.operators import rules as R
+from millrace import session
 from millrace.sources import readers, sinks
 
 
@@ -282,3 +286,56 @@ def test_scan_is_pruned(spark, data):
     plan = catalogue.queries()["hateful_filter"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<row_id:bigint,is_hateful:boolean>" in plan
     assert "EqualTo(is_hateful" in plan or "is_hateful" in plan.split("PushedFilters")[1][:80]
+
+
+# --- session
+
+
+class _Remote:
+    def __init__(self, master, named=None):
+        self.sparkContext = type("C", (), {"master": master})()
+        self.conf = type("K", (), {"get": lambda *_: named})()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(_Remote(master))
+        assert session.shared_folder(_Remote(master, "hdfs://h/x/")) == "hdfs://h/x"
+    assert session.shared_folder(_Remote("local[4]"))
+
+
+def test_stored_tables_are_deleted(spark):
+    a, b = (session.stored(spark.range(n)) for n in (5, 7))
+    for t in (a, b):
+        assert readers._exists(spark, t._stored_at)
+    session.dropped(a, spark.range(1))
+    assert not readers._exists(spark, a._stored_at) and b.count() == 7
+    session.release()
+    assert not readers._exists(spark, b._stored_at)
+
+
+def test_broadcasts_go_by_bytes(spark):
+    wide = spark.range(100).select("id", F.array_repeat(F.col("id"), 1000).alias("a"), F.repeat(F.lit("x"), 500).alias("s"))
+
+    def marked(df, most):
+        return "broadcast" in session.few_or_not(df, most)._jdf.queryExecution().logical().toString()
+
+    assert marked(wide, 100 * 10_000) and not marked(wide, 100 * 8_000)
+    assert marked(spark.createDataFrame([], "a array<string>, b struct<c: int, d: string>"), 1)
+
+
+def test_core_needs_no_llm_library():
+    code = """
+import builtins, sys
+real = builtins.__import__
+def gone(name, *a, **k):
+    if name.split(".")[0] in ("zstandard", "tiktoken"):
+        raise ModuleNotFoundError(name, name=name)
+    return real(name, *a, **k)
+builtins.__import__ = gone
+import __spark_entry__ as e
+from millrace.plans import catalogue
+assert set(catalogue.queries()) <= set(e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
