@@ -150,11 +150,48 @@ def test_pack_nothing(spark):
     assert packing.fill_report(packing.pack(df, "key")).first().containers == 0
 
 
+def test_pack_ranks_large_sizes_in_buckets(spark):
+    sizes = [(i, 7 + i % 3) for i in range(2000)]
+    rows = packing.pack(spark.createDataFrame(sizes, "key bigint, n_tokens int"), "key", capacity=100, tiers=(25, 50, 100), ranked=100).collect()
+    used = check_packing(rows, sizes, 100)
+    assert len(used) <= -(-sum(s for _, s in sizes) // 100) * 1.03
+
+
 def test_plan_fills_gaps():
     p = packing.plan({1500: 10, 548: 10, 1024: 4, 3: 8})
     assert p.containers == 13 and p.tokens == 1500 * 10 + 5480 + 4096 + 24
 
 
+def test_plan_follows_tiers():
+    rng = random.Random(7)
+    sizes = [max(1, min(2048, int(rng.lognormvariate(4.5, 1.2)))) for _ in range(20_000)]
+    left = np.bincount(sizes, minlength=2049)
+    fewest = -(-sum(sizes) // 2048)
+    made = {}
+    for tiers in ((2048,), (512, 2048), packing.TIERS):
+        patterns = packing.windows(left, tiers)
+        for t, below in zip(tiers, (0, *tiers[:-1]), strict=True):
+            for filled, times, content in patterns[t]:
+                assert filled == sum(s * k for s, k in content) <= t and times > 0
+                assert max(s for s, _ in content) > below  # a window is opened for a text of its own tier
+        p = made[tiers] = packing.composed(patterns, 2048)
+        used, inside = np.zeros(p.containers, np.int64), {}
+        for s in np.flatnonzero(left):
+            n = int(left[s])
+            window, at = p.find(np.full(n, s), np.arange(n))
+            assert (window >= s).all()
+            np.add.at(used, at, s)
+            for w in window:
+                inside[int(w)] = inside.get(int(w), 0) + 1
+        assert used.max() <= 2048 and used.sum() == sum(sizes) == p.tokens
+        assert p.containers <= fewest * 1.001 + 1
+        assert set(inside) == set(tiers)  # every tier's windows are in use, and change with the tiers
+    short = {t: np.mean(made[t].find(np.full(50, 40), np.arange(50))[0] <= 256) for t in made}
+    assert short[(2048,)] == 0 and short[packing.TIERS] > 0
+    # many texts just over a short window, and nothing to fill its gaps: the ladder gets coarser by itself
+    assert packing.plan({300: 600}).containers == 100 and len(packing.plan({300: 600}).tiers) < 4
+
+
 # --- quotas
 
 
