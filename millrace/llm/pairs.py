@@ -1,8 +1,10 @@
 """Problem 1: prompt and response pairs whose response is unusable, with the kind of defect.
 
-Copies are found by compressing the response with its prompt as a zstandard dictionary: a copy shrinks to almost
-nothing. What shrinks is then compared letter by letter. Empty responses and refusals go by dictionaries, other
-languages by function words, cut responses by the terminal-context model.
+Copies are told by compression: the letters of the response are packed with those of the prompt as a zstandard
+dictionary, and the other way round. A copy leaves nothing to say in either direction; each real change of a word costs
+some bytes. Only the outermost letters, where no match is long enough to pay, are compared as they are. Empty
+responses and refusals go by dictionaries, other languages by function words, cut responses by the terminal-context
+model.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ from millrace.llm.truncation import judge, limits
 from millrace.llm.words import WORD, language_counts
 from millrace.session import spread
 
-#: Share of its letters to which a response must shrink, besides the bytes that any frame takes, to be a possible copy.
-SHRINKS, FRAME = 0.25, 24
+#: Bytes that a copy may take beyond those that the original takes under itself. A changed word takes 3 at least, 6 mostly.
+MOST_NEW = 1
+#: Bytes on either end that no match of the compressor may reach: these are compared one by one, and shorter texts as a whole.
+EDGE = 8
 
 #: How a refusal says that it won't, and what it won't do, in four languages.
 DECLINES = re.compile(
@@ -41,6 +44,8 @@ OBJECT = re.compile(
 )
 #: A label that generated text may begin with; what follows it is the response.
 LABEL = re.compile(r"^\s*(?:" + "|".join(LABELS) + r")\s*:\s*", re.I)
+#: Characters around declining words in which what they decline must be named.
+NEAR = 200
 QUOTES = str.maketrans({"’": "'", "‘": "'"})
 
 
@@ -61,27 +66,42 @@ def is_empty(response: str | None) -> bool:
     return not letters or letters in {re.sub(r"[\W_]+", " ", x) for x in NULL_LIKE} or bool(endings.ERROR.match(response))
 
 
-def shrinks(response: bytes, prompt: bytes) -> bool:
-    """Whether the prompt, taken as a dictionary, says nearly all that is in the response."""
-    if len(prompt) < 8:  # zstandard takes no shorter dictionary
-        return True
-    d = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packed = zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False).compress(response)
-    return len(packed) <= SHRINKS * len(response) + FRAME
+def packed(text: bytes, dictionary: bytes) -> int:
+    """Bytes that a text takes with another as its dictionary."""
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(text))
+
+
+def new_bytes(text: bytes, original: bytes) -> int:
+    """What each of two texts says that the other doesn't, in packed bytes; the larger of both directions.
+
+    The frame and the one match that a text is under itself are taken off. Both texts must have EDGE bytes or more.
+    """
+    forth = packed(text, original) - packed(original, original)
+    return forth if forth > MOST_NEW else max(forth, packed(original, text) - packed(text, text))
+
+
+def copied(text: str, original: str) -> bool:
+    """Whether letters repeat the original's letters, all of them and no others."""
+    a, b = text.encode(), original.encode()
+    if min(len(a), len(b)) < 2 * EDGE:
+        return a == b
+    return new_bytes(a, b) <= MOST_NEW and a[:EDGE] == b[:EDGE] and a[-EDGE:] == b[-EDGE:]
 
 
 def is_copy(response: str, prompt: str) -> bool:
-    p = canonical(prompt)
-    for r in {canonical(response), canonical(LABEL.sub("", response))}:
-        if r and len(r) <= len(p) and shrinks(r.encode(), p.encode()) and r in (canonical(caption_of(prompt)), p):
-            return True
-    return False
+    """Whether the response, a label before it aside, repeats the caption or the whole prompt but for case, spacing and marks."""
+    whole, caption = canonical(prompt), canonical(caption_of(prompt))
+    forms = {canonical(response), canonical(LABEL.sub("", response))} - {""}
+    return any(copied(r, p) for r in forms for p in {whole, caption} - {""})
 
 
 def is_refusal(response: str) -> bool:
+    """Whether some words decline, and what they decline stands within NEAR characters of them; the length doesn't matter."""
     t = response.translate(QUOTES)
-    m = DECLINES.search(t)
-    return bool(m and OBJECT.search(t) and len(t) <= 400)
+    return any(OBJECT.search(t, max(0, m.start() - NEAR), m.end() + NEAR) for m in DECLINES.finditer(t))
 
 
 def other_language(response: str, caption: str) -> bool:
@@ -107,27 +127,33 @@ def defect(prompt: str | None, response: str | None, model: endings.Model, marks
 
 
 def defects(rows: DataFrame, key: str = "row_id", prompt: str = "input_text", response: str = "target_text", source: str | None = "dataset") -> DataFrame:
-    """(key, defect) for every row; `defect` is null for a usable response.
+    """(key, source, defect) for every row; `defect` is null for a usable response, `source` the right name of its dataset.
 
     A null response is `empty`; a null prompt counts as an empty one, of which nothing is a copy and which has
     no language. Repeated rows come out each; whole texts are read. An empty table gives no rows.
     """
     spark = rows.sparkSession
     name = dataset_name(F.coalesce(F.col(source), F.lit(""))) if source else F.lit("")
-    data = rows.select(F.col(key), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("response"), name.alias("source"))
+    data = rows.select(F.col(key).alias("key"), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("response"), name.alias("source"))
     vocabulary, n = endings.vocabulary(data, "response")
-    model = endings.fit(endings.sample_closed(data, "response", key, n), vocabulary)
+    model = endings.fit(endings.sample_closed(data, "response", "key", n), vocabulary)
     shared = spark.sparkContext.broadcast((model, limits(data.where("response is not null"), "source", "response")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, marks = shared.value
         for b in batches:
             got = [defect(p, r, model, marks, s) for p, r, s in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], [key, "defect"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(got, pa.string())], ["key", "source", "defect"])
 
-    return spread(data).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, defect string")
+    out = spread(data).mapInArrow(run, f"key {rows.schema[key].dataType.simpleString()}, source string, defect string")
+    return out.withColumnRenamed("key", key)
 
 
 def found(rows: DataFrame) -> DataFrame:
     """(row_id, defect) of the defective rows."""
-    return defects(rows).where("defect is not null")
+    return defects(rows).where("defect is not null").select("row_id", "defect")
+
+
+def rates(rows: DataFrame) -> DataFrame:
+    """(dataset, defect, n): rows by dataset and kind of defect, `none` for usable ones."""
+    return defects(rows).groupBy(F.col("source").alias("dataset"), F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"))

@@ -23,9 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "train")
-    names = rows.select("row_id", dataset_name(F.col("dataset")).alias("dataset"))
-    return pairs.defects(rows).join(names, "row_id").groupBy("dataset", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"))
+    return pairs.rates(table(spark, d, "train"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

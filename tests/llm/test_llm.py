@@ -246,6 +246,37 @@ def test_defects():
     assert pairs.defect(P, "x" * 50_000, model, {}) is None
 
 
+WORDS = "the quick brown fox and the lazy dog are here while nobody in the old harbour sells bread or paints a lantern green".split()
+
+
+def test_compressor_decides_copies(monkeypatch):
+    rng = random.Random(13)
+    copies, changed = [], []
+    for _ in range(400):
+        w = rng.choices(WORDS, k=rng.randint(8, 60))
+        i = rng.randrange(2, len(w) - 2)
+        other = rng.choice([x for x in WORDS if len(x) == len(w[i]) and x != w[i]] or ["qz" + w[i][2:]])
+        copies.append((" ".join(w), " ".join(w).title() + " !"))
+        changed += [(" ".join(w), " ".join([*w[:i], other, *w[i + 1 :]])), (" ".join(w), " ".join(w[:i] + w[i + 1 :])), (" ".join(w), " ".join([*w[:i], "not", *w[i:]]))]
+    changed = [(a, b) for a, b in changed if pairs.canonical(a) != pairs.canonical(b)]
+    assert all(pairs.is_copy(b, a) for a, b in copies)
+    assert np.mean([pairs.is_copy(b, a) for a, b in changed]) < 0.01
+    assert all(pairs.is_copy(x, x) for x in ("A b c", "word " * 3, "ünï cödé 😂 " * 9000))
+    assert not pairs.is_copy("A b d", "A b c") and not pairs.is_copy("a b c d", "a b c")
+    # without the compressor either every copy is lost or the changed texts come along
+    monkeypatch.setattr(pairs, "packed", lambda a, b: len(a))
+    assert np.mean([pairs.is_copy(b, a) for a, b in changed]) > 0.2
+    monkeypatch.setattr(pairs, "packed", lambda a, b: len(a) if a != b else 0)
+    monkeypatch.setattr(pairs, "new_bytes", lambda a, b: len(a))
+    assert not any(pairs.is_copy(b, a) for a, b in copies)
+
+
+def test_long_refusals():
+    one = "I'm sorry, but I can't help with rewriting this text. "
+    assert pairs.is_refusal(one) and pairs.is_refusal(one * 9) and pairs.is_refusal("The weather was fine. " * 50 + one)
+    assert not pairs.is_refusal("He was unable to come. " + "The weather was fine. " * 20 + "They read the captions.")
+
+
 def test_defects_of_odd_tables(spark):
     kind = "row_id bigint, input_text string, target_text string, dataset string, prompt int, source int"
     assert pairs.defects(spark.createDataFrame([], kind)).count() == 0
