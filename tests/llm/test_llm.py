@@ -547,20 +547,54 @@ FINE = [None, "", " ", PROSE, PROSE * 400, PROSE + "#one #two http://x.example/"
 
 
 def test_stuffing(spark):
-    rows = strings(spark, SPAM + FINE + SPAM[:1], "doc_id bigint, text string").withColumn("spam", F.lit("x")).withColumn("listed", F.lit(1))
-    assert {r.doc_id for r in stuffing.found(rows).collect()} == {0, 1, 2, 3, len(SPAM + FINE)}
-    assert stuffing.scored(rows).count() == len(SPAM + FINE) + 1
+    seven = " ".join(f"http://site{c}.example/p" for c in "abcdefg")
+    rows = strings(spark, SPAM + FINE + SPAM[:1] + [seven], "doc_id bigint, text string").withColumn("spam", F.lit("x")).withColumn("listed", F.lit(1))
+    n = len(SPAM + FINE)
+    assert {r.doc_id for r in stuffing.found(rows).collect()} == {0, 1, 2, 3, n, n + 1}
+    assert stuffing.scored(rows).count() == n + 2
     assert stuffing.found(rows.limit(0)).count() == 0
 
 
+KEYS = "chair lamp table spoon fork knife plate glass bowl cup shelf sofa stool bench clock mirror rug vase bucket ladder hammer saw drill tape".split()
+#: For each measure a document that it alone can tell to be spam.
+ONLY = {
+    "top": PROSE * 2 + "A chair is a chair and the chair of my chair was the chair that we had when a chair was there.",
+    "top3": "chair aa bb lamp cc dd table ee ff chair gg hh lamp ii jj table kk ll chair mm nn lamp oo pp table qq",
+    "pairs": " ".join(f"{a} {b}" for _ in range(4) for a, b in zip(KEYS[:20:2], KEYS[1:20:2], strict=True)),
+    "lines": "\n".join(" ".join(KEYS[(i * 7 + j * 5) % 24] for j in range(3)) for i in [*range(8)] * 3),
+    "separators": ", ".join(KEYS * 3),
+    "links": SPAM[1],
+    "tags": SPAM[2],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ONLY))
+def test_each_measure_decides(name):
+    off = dict.fromkeys(stuffing.LIMITS, 9.0) | {"function": 0.42, "missing": 0.07}
+    limit = stuffing.limits_of(dict.fromkeys(stuffing.LIMITS, 0.0), 0.42)[name]
+    assert stuffing.signals(ONLY[name], {"": off | {name: limit}})["spam"]
+    assert not stuffing.signals(ONLY[name], {"": off})["spam"]
+    assert not any(stuffing.signals(t or "", {"": off | {name: limit}})["spam"] for t in FINE)
+
+
+def test_limits_follow_the_language(spark):
+    de = "Der Nachbar und die Lehrerin sind in der Schule und trinken einen Kaffee, weil es auf dem Hof so kalt ist und der Regen nicht mehr aufhört zu fallen. "
+    rows = strings(spark, [PROSE * 3] * 300 + [(de + "- ja; ja, nein; / so, ja; ") * 2] * 300, "doc_id bigint, text string")
+    norms = stuffing.calibrate(rows)
+    assert set(norms) == {"", "en", "de"}
+    assert norms["de"]["separators"] > norms["en"]["separators"] and norms["de"]["function"] != norms["en"]["function"]
+    assert stuffing.calibrate(rows.limit(0)).keys() == {""}
+
+
 def test_found_decides_as_scores():
     prose = [w for w in (PROSE * 10).replace(".", "").split() if w.isalpha()][:90]
     linked = " ".join(w + (" http://" + "x" * 58 + f".example/{i % 10}" if i % 9 == 8 else "") for i, w in enumerate(prose))
-    norms = {"en": (0.4, 0.05), "": (0.4, 0.05)}
+    deciles = {"top": 0.05, "top3": 0.1, "pairs": 0.2, "lines": 0.1, "separators": 0.12, "links": 0.0, "tags": 0.0}
+    norms = {"en": stuffing.limits_of(deciles, 0.4), "": stuffing.limits_of(deciles, 0.4)}
     assert stuffing.signals(linked, norms)["spam"]
     rng = random.Random(12)
-    pieces = [*SPAM, PROSE, linked, "free shop order ", "a1 b2 12 12 12 7 ", "#tag @me ", "keyword " * 5]
-    for _ in range(300):
+    pieces = [*SPAM, PROSE, linked, "free shop order ", "a1 b2 12 12 12 7 ", "#tag @me ", "keyword " * 5, *ONLY.values()]
+    for _ in range(600):
         t = " ".join(rng.choice(pieces)[: rng.randint(5, 400)] for _ in range(rng.randint(1, 6)))
         assert stuffing.signals(t, norms)["spam"] == stuffing.signals(t, norms, full=False)["spam"]
     assert stuffing.signals(linked, norms, full=False)["spam"]
