@@ -34,8 +34,16 @@ CLOSED = re.compile(r"[^.][.!?]$|[!?]+$")
 ERROR = re.compile(r"^\s*\[\w+ ERROR\b", re.I)
 
 
+#: A last character after which only a tag or a link can still be part of the tail.
+_FIRM = re.compile(r"[\w.,!?…;:\-�]\Z")
+
+
 def stem(text: str) -> str:
     """The text without closing quotes, emoji, tags, links and white space."""
+    if _FIRM.search(text, max(0, len(text) - 1)):
+        last = text.rsplit(None, 1)[-1]
+        if last[0] != "#" and "://" not in last:
+            return text
     return TAIL.sub("", text)
 
 

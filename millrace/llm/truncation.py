@@ -1,9 +1,11 @@
 """Problem 5: texts that lost their end in a field limit or in transfer.
 
-Three kinds of evidence. (1) Near-copies: each distinct unclosed value is compared with every distinct value of
-its min-hash bands that it can be a beginning of; where an aligned pair agrees up to the end of the shorter one, it stops early. (2) A field
-limit: lengths at which far more values of a source end without a mark than at the lengths around. (3) For all
-others, the terminal-context model (`endings`) scores the closing words.
+Near-copies are found by min-hash banding of beginnings: a value without a closing mark is sketched as it is, every other
+value at its beginnings of all lengths of a grid (LENGTHS), so that a copy that lost most of its text still shares its
+whole sketch with the text it was. Verified pairs are aligned: where the longer text goes on in the middle of a sentence,
+the shorter one was cut; where a sentence ends there, it merely lacks its full stop. Values without such a partner
+are scored by their closing words (`endings`), with the odds of a field limit where many values of a source stop at
+one length.
 """
 
 from __future__ import annotations
@@ -11,25 +13,33 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import NULL_LIKE
-from millrace.llm import endings, overlap
-from millrace.session import few_or_not, stored, table
+from millrace.llm import endings
+from millrace.llm.canon import dataset_name
+from millrace.session import dropped, few_or_not, spread, stored, table
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Bands and rows of the min-hash: pairs of similarity 0.8 miss each other in all bands with a probability of 0.0002.
-BANDS, ROWS = 16, 4
+#: Bands and rows of the min-hash: pairs of similarity 0.8 miss each other in all bands with a probability of 0.0008.
+BANDS, ROWS = 10, 3
+#: Lengths of beginnings, in words, that are sketched: each up to twelve, then in steps of a tenth.
+DENSE, STEP = 12, 1.1
+#: Words that a beginning and its near-copy may differ in length.
+SHIFT = 2
 #: Log odds below which a value counts as cut, on the model alone.
 CUT = -4.5
-#: A length is a field limit from this many unclosed values on, if they are LIMIT_TIMES those of the lengths around.
-LIMIT_LEAST, LIMIT_TIMES, LIMIT_AROUND = 12, 4.0, 8
+#: A length is a field limit where unclosed values are LIMIT_TIMES those of the lengths around, beyond chance: the
+#: likelihood ratio of that against no more than around is LIMIT_RATIO (log) at least.
+LIMIT_TIMES, LIMIT_AROUND, LIMIT_RATIO = 4.0, 8, 6.0
+#: Bits of the filter for each sketch key, and bits at most (256 MB); keys beyond pass oftener, which costs time and no result.
+KEY_BITS, MOST_BITS = 16, 1 << 31
 
 
 def is_value(text: str | None) -> bool:
@@ -37,205 +47,261 @@ def is_value(text: str | None) -> bool:
     if not text or endings.ERROR.match(text):
         return False
     t = text.strip().lower()
-    return t.strip(" .-\"'") not in NULL_LIKE and len(endings.tokens(t)) >= 2
-
-
-def bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of five words or more its bands (BANDS hashes), and the number of words of all texts."""
-    memo: dict[str, int] = {}
-    ids, lens = [], []
-    for t in texts:
-        words = [w for w in endings.tokens(t) if w[0].isalnum()]
-        for w in words:
-            if w not in memo:
-                memo[w] = zlib.crc32(w.encode()) * 2_654_435_761 + 97
-            ids.append(memo[w])
-        lens.append(len(words))
-    n = np.array(lens, np.int64)
-    h = np.array(ids, np.uint64)
-    out = np.zeros((len(texts), BANDS), np.int64)
-    ok = np.flatnonzero(n >= SHINGLE)
-    if not len(ok):
-        return out, n
-    with np.errstate(over="ignore"):
-        first = np.concatenate([[0], np.cumsum(n)])[:-1][ok]
-        count = n[ok] - SHINGLE + 1
-        at = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)])[:-1], count))
-        s = np.zeros(len(at), np.uint64)
-        for k in range(SHINGLE):
-            s = (s ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-            s ^= s >> np.uint64(29)
-        starts = np.concatenate([[0], np.cumsum(count)])[:-1]
-        for b in range(BANDS):
-            band = np.full(len(ok), np.uint64(b + 1))
-            for r in range(ROWS):
-                i = b * ROWS + r
-                x = (s ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
-                x ^= x >> np.uint64(32)
-                m = np.minimum.reduceat(x, starts)
-                band = (band ^ m) * np.uint64(0xC4CEB9FE1A85EC53)
-                band ^= band >> np.uint64(31)
-            out[ok, b] = band.view(np.int64)
-    return out, n
+    return t.strip(" .-\"'") not in NULL_LIKE and len(list(islice(endings.TOKEN.finditer(t), 2))) == 2
 
 
-def stops_early(short: str, long: str) -> bool:
-    """Whether `short` agrees with the beginning of `long` word by word (a part of a word at its end included).
+def grid(most: int) -> list[int]:
+    """The lengths of beginnings up to `most`."""
+    out = [g for g in range(SHINGLE, DENSE + 1) if g <= most]
+    g = DENSE
+    while (g := max(g + 1, int(g * STEP))) <= most:
+        out.append(g)
+    return out
 
-    The aligned words must be at least SIMILAR of those of `short`, and the alignment must end with `short`
-    but not with `long`.
-    """
-    return words_stop_early(*([w for w in endings.tokens(x) if w[0].isalnum()] for x in (short, long)))
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(29))
+
+
+class Words:
+    """The words of a batch of texts as one array of hashes: `n` of each text from `first` on, with a hash of each one's first letter."""
+
+    def __init__(self, texts: list[str]):
+        memo: dict[str, int] = {}
+        ids: list[int] = []
+        self.letters: list[int] = []
+        lens = []
+        for t in texts:
+            words = only_words(t)
+            for w in words:
+                h = memo.get(w)
+                if h is None:
+                    h = memo[w] = zlib.crc32(w.encode()) * 2_654_435_761 + zlib.adler32(w[::-1].encode())
+                ids.append(h)
+                self.letters.append(ord(w[0]))
+            lens.append(len(words))
+        self.ids = np.array(ids, np.uint64)
+        self.n = np.array(lens, np.int64)
+        self.first = np.cumsum(self.n) - self.n
+
+    def shingles(self) -> np.ndarray:
+        """A hash of the five words from each word on (those that reach into the next text are not to be used)."""
+        s = np.zeros(len(self.ids), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(SHINGLE):
+                s = (s ^ np.roll(self.ids, -k)) * np.uint64(0x9E3779B97F4A7C15)
+                s ^= s >> np.uint64(29)
+        return s
+
+    def pairs_before(self) -> np.ndarray:
+        """A hash of the two words before each word and of its first letter; what comes before the third word is not to be used."""
+        with np.errstate(over="ignore"):
+            two = np.roll(self.ids, 2) * np.uint64(0x9E3779B97F4A7C15) + np.roll(self.ids, 1)
+            return _mix(two * np.uint64(0xD6E8FEB86659FD93) + np.array(self.letters, np.uint64))
+
+
+def only_words(text: str) -> list[str]:
+    return [w for w in endings.tokens(text) if w[0].isalnum()]
+
+
+def _hashes(shingles: np.ndarray, i: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix((shingles ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))) * np.uint64(0xC4CEB9FE1A85EC53))
 
-def words_stop_early(a: list[str], b: list[str], of_b: frozenset[str] | None = None) -> bool:
-    """As `stops_early`, on words; `of_b`: the words of `b`, if they are at hand."""
-    if len(a) < SHINGLE or len(b) < len(a):
-        return False
-    if len(a) == len(b) and not (len(b[-1]) > len(a[-1]) and b[-1].startswith(a[-1])):
-        return False
-    # two things that any alignment needs, told without one: enough words in common, and the last two in a row
-    of_b = frozenset(b) if of_b is None else of_b
-    if a[-2] not in of_b or sum(map(of_b.__contains__, a[:-1])) + 1 < SIMILAR * len(a):
-        return False
-    if not any(x == a[-2] and y.startswith(a[-1]) for x, y in zip(b, b[1:], strict=False)):
-        return False
-    blocks = [x for x in SequenceMatcher(None, a[:-1], b, autojunk=False).get_matching_blocks() if x.size]
-    if not blocks:
-        return False
-    last = blocks[-1]
-    end = last.b + last.size
-    whole_tail = last.a + last.size == len(a) - 1 and end < len(b) and b[end].startswith(a[-1]) and (end + 1 < len(b) or b[end] != a[-1])
-    return whole_tail and sum(x.size for x in blocks) + 1 >= SIMILAR * len(a) and blocks[0].b <= 2
 
+def _bands(least: np.ndarray, g) -> np.ndarray:
+    """Band keys (a column for each band) from the minima, ROWS of them to a band; `g`: the length of the beginning."""
+    out = np.zeros((least.shape[1], BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(BANDS):
+            h = np.full(least.shape[1], np.uint64(b + 1)) + np.asarray(g, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for r in range(ROWS):
+                h = _mix((h ^ least[b * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15))
+            out[:, b] = h
+    return out
 
-def runs_of(words: list[str], k: int = SHINGLE) -> frozenset[tuple[str, ...]]:
-    return frozenset(zip(*(words[i:] for i in range(k)), strict=False))
 
+def sketched_whole(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) for each band of the texts as they are: all their words but the last, which may be a part of one."""
+    own = np.flatnonzero(w.n - 1 >= SHINGLE)
+    if not len(own):
+        return own, np.zeros(0, np.uint64)
+    lengths = np.array(grid(int(w.n.max())))
+    g = lengths[np.searchsorted(lengths, w.n[own] - 1, side="right") - 1]
+    s = w.shingles()
+    edges = np.stack([w.first[own], w.first[own] + g - SHINGLE + 1], axis=1).ravel()
+    least = np.stack([np.minimum.reduceat(_hashes(s, i), edges)[::2] for i in range(BANDS * ROWS)])
+    end = w.pairs_before()[w.first[own] + w.n[own] - 1]
+    with np.errstate(over="ignore"):
+        keys = _mix(_bands(least, g) + end[:, None])
+    return np.repeat(own, BANDS), keys.ravel()
 
-def shingles_shared(a: list[str], b: list[str], runs_of_b: frozenset[tuple[str, ...]] | None = None) -> float:
-    """The share of the five-word runs of `a`, without its last word, that `b` has too: what makes a beginning a near-copy.
 
-    Texts from one template with other words filled in share their words in order, but few such runs.
-    `runs_of_b`: the five-word runs of `b`, if they are at hand.
+def sketched_beginnings(w: Words, passes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, key) for each band of each beginning of the texts that passes the filter.
+
+    `place` is the number of the word in which the shorter text would stop, counted from 0: the pair of words before it
+    and its first letter are part of the key, and it lies SHIFT words at most off what the beginning's length allows.
+    """
+    none = np.zeros(0, np.int64)
+    lengths = grid(int(w.n.max(initial=0)))
+    if not lengths:
+        return none, none, none.view(np.uint64)
+    s, ends = w.shingles(), w.pairs_before()
+    x = np.stack([_hashes(s, i) for i in range(BANDS * ROWS)])
+    least = np.full((BANDS * ROWS, len(w.n)), np.iinfo(np.uint64).max, np.uint64)
+    done, out = SHINGLE - 1, ([], [], [])
+    for g, after in zip(lengths, [*lengths[1:], lengths[-1] + 1], strict=True):
+        some = np.flatnonzero(w.n > g)
+        if not len(some):
+            break
+        for j in range(done, g):  # the shingles that end with word j
+            least[:, some] = np.minimum(least[:, some], x[:, w.first[some] + j - SHINGLE + 1])
+        done = g
+        keys = _bands(least[:, some], np.full(len(some), g))
+        for place in range(max(2, g - SHIFT), after + SHIFT):
+            at = np.flatnonzero(w.n[some] > place)
+            if not len(at):
+                break
+            with np.errstate(over="ignore"):
+                k = _mix(keys[at] + ends[w.first[some[at]] + place][:, None])
+            on = passes(k)
+            i, b = np.nonzero(on)
+            out[0].append(some[at[i]])
+            out[1].append(np.full(len(i), place))
+            out[2].append(k[i, b])
+    return tuple(np.concatenate(c) for c in out) if out[0] else (none, none, none.view(np.uint64))
+
+
+def bits_for(keys: int) -> int:
+    """The size of the filter for so many keys: a power of two."""
+    return min(MOST_BITS, 1 << max(16, (KEY_BITS * keys - 1).bit_length()))
+
+
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys & np.uint64(bits - 1), (keys >> np.uint64(27)) & np.uint64(bits - 1)
+
+
+def key_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit filter over the `key` column of a stored table, sized by its rows; it is made from the slots of the keys, block by block."""
+    bits = bits_for(keys.count())
+    words = max(1, bits // 64)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(_slots(b.column(0).to_numpy().view(np.uint64), bits)))
+            word, start = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+
+    out = np.zeros(words, np.uint64)
+    merged = keys.select("key").mapInArrow(slots, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value"))
+    for part in merged.toLocalIterator() if words > 1 << 22 else [merged.toArrow()]:
+        rows = part if isinstance(part, pa.Table) else None
+        if rows is not None:
+            out[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
+        else:
+            out[part["word"]] = np.int64(part["value"]).view(np.uint64)
+    return out, bits
+
+
+def _passes(bits: np.ndarray, size: int):
+    def passes(keys: np.ndarray) -> np.ndarray:
+        first, second = _slots(keys, size)
+        on = ((bits[(first >> np.uint64(6)).astype(np.int64)] >> (first & np.uint64(63))) & np.uint64(1)).astype(bool)
+        again = second[on]
+        on[on] = ((bits[(again >> np.uint64(6)).astype(np.int64)] >> (again & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return on
+
+    return passes
+
+
+def stops(short: list[str], long: list[str], marks: str, place: int) -> str | None:
+    """How a text stops where a longer one goes on: `inside` a word, `before` another word, at the end of a sentence (`whole`), `open` if that can't be told.
+
+    None if they are no near-copies.
+    `short` and `long` are words; `marks` tells what follows each word of the longer text: a full stop or the like (`.`),
+    another mark (`,`), a word in capitals (`A`) or nothing of these (` `). At least SIMILAR of the shorter text's
+    five-word runs must stand in the longer one before `place`, where its last word must stand or begin.
     """
-    k = min(SHINGLE, len(a) - 1)
-    of_b = runs_of_b if k == SHINGLE and runs_of_b is not None else runs_of(b, k)
-    runs = list(zip(*(a[i : len(a) - 1] for i in range(k)), strict=False))
-    return sum(map(of_b.__contains__, runs)) / len(runs)
+    if len(short) <= SHINGLE or place >= len(long) or not long[place].startswith(short[-1]) or short[-2] != long[place - 1]:
+        return None
+    runs = runs_of(short[:-1])
+    if len(runs & runs_of(long[:place])) < SIMILAR * len(runs):
+        return None
+    if long[place] != short[-1]:
+        return "inside"
+    if place + 1 == len(long):
+        return None
+    return {".": "whole", " ": "before"}.get(marks[place], "open")
 
 
-def end_bit(before: str, last: str) -> int:
-    """The bit, of 128, that stands for a word and the first letter of the next."""
-    return zlib.crc32(f"{before} {last[0]}".encode()) & 127
+def runs_of(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-def ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of bits for each text: for its own last two words, and for any two of its words (see `end_bit`).
+#: How a text stops, from the strongest sign of an early end down; a sentence that ends there outweighs them all.
+HOW = ("inside", "before", "open", "whole")
 
-    A beginning of a text has its last words there too, the very last one maybe in part: its bit is among the text's.
-    """
-    own, every = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), 2), np.uint64)
-    memo: dict[tuple[str, str], int] = {}
-    for i, t in enumerate(texts):
-        words = [w for w in endings.tokens(t) if w[0].isalnum()]
-        bits, bit = 0, 0
-        for pair in zip(words, words[1:], strict=False):
-            k = (pair[0], pair[1][0])
-            bit = memo.get(k, -1)
-            if bit < 0:
-                if len(memo) > 300_000:
-                    memo.clear()
-                bit = memo[k] = end_bit(*pair)
-            bits |= 1 << bit
-        low = (1 << 64) - 1
-        every[i] = bits & low, bits >> 64
-        last = 1 << bit if len(words) > 1 else 0
-        own[i] = last & low, last >> 64
-    return own.view(np.int64), every.view(np.int64)
-
-
-def _band_filter(banded: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over the bands of a stored table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(overlap.FILTER_BITS // 64, np.uint64)
-        for b in batches:
-            for s in overlap._slots(b.column(0).to_numpy().view(np.uint64)):
-                np.bitwise_or.at(bits, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-        for i, part in enumerate(np.split(bits, 16)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
-
-    few = banded.select("band").coalesce(min(overlap.FILTER_TASKS, 1 + banded.count() // overlap.KEYS_PER_TASK))
-    out = np.zeros((16, overlap.FILTER_BITS // 64 // 16), np.uint64)
-    for r in few.mapInArrow(run, "part int, bits binary").toLocalIterator():
-        out[r["part"]] |= np.frombuffer(r["bits"], np.uint64)
-    return out.ravel()
+def marked_words(text: str) -> tuple[list[str], str]:
+    """The words of a text in lower case, and for each what follows it (see `stops`)."""
+    found = endings.TOKEN.findall(text)
+    words, marks = [], []
+    for i, t in enumerate(found):
+        if t[0].isalnum():
+            after = found[i + 1] if i + 1 < len(found) else ""
+            words.append(t.lower())
+            marks.append(" " if not after else "." if after[0] in ".!?…" else "A" if after[0].isupper() else " " if after[0].isalnum() else ",")
+    return words, "".join(marks)
 
 
-def banded(texts: DataFrame, short: bool, bits=None) -> DataFrame:
-    """(band, tid, n, e0, e1) for every band of the texts (tid, value); the bits of their own end if `short`, else of all word pairs.
+def matched(shorts: DataFrame, values: DataFrame) -> DataFrame:
+    """(tid, how) of the values of `shorts` with a longer near-copy among `values`: how they stop (see `stops`). Both: distinct (tid, value).
 
-    `bits`: a broadcast filter that the bands must pass.
+    Of several copies one that ends a sentence there counts first, else the strongest sign of an early end. Every
+    short value meets every value of its bands, no partner is left out; values in none of them are not shuffled.
     """
+    kind = shorts.schema["tid"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(1).to_pylist()
-            found, n = bands(values)
-            rows = np.flatnonzero(n >= SHINGLE)
-            own = np.repeat(rows, BANDS)
-            band = found[rows].ravel()
-            if bits is not None:
-                for which in (0, 1):
-                    s = overlap._slots(band.view(np.uint64))[which]
-                    on = ((bits.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    own, band = own[on], band[on]
-            some, at = np.unique(own, return_inverse=True)
-            e = ends([values[i] for i in some])[0 if short else 1][at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band), b.column(0).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(e[:, 0]), pa.array(e[:, 1])], ["band", "tid", "n", "e0", "e1"]
-            )
-
-    return texts.select("tid", "value").mapInArrow(run, "band bigint, tid bigint, n int, e0 bigint, e1 bigint")
-
-
-def early_copies(shorts: DataFrame, values: DataFrame) -> DataFrame:
-    """(tid) of `shorts` with a near-copy among `values` that goes on after their end. Both: distinct (tid bigint, value string).
-
-    Every short value meets every value of its bands that has as many words or more and, somewhere in it, the last
-    two words of the short one; no partner is left out. Values in none of the bands of `shorts` are not shuffled.
-    A band's pairs grow with the product of its distinct short and long members; adaptive execution splits hot ones.
-    """
-    a = stored(banded(shorts, True))
-    bits = values.sparkSession.sparkContext.broadcast(_band_filter(a))
-    b = banded(values, False, bits).select("band", F.col("tid").alias("longer"), F.col("n").alias("m"), F.col("e0").alias("a0"), F.col("e1").alias("a1"))
-    fits = (F.col("m") >= F.col("n")) & (F.col("tid") != F.col("longer")) & ((F.col("e0").bitwiseAND(F.col("a0")) != 0) | (F.col("e1").bitwiseAND(F.col("a1")) != 0))
-    pairs = stored(a.join(b, "band").where(fits).select("tid", "longer").distinct())
-    texts = pairs.join(shorts.select("tid", "value"), "tid").join(values.select(F.col("tid").alias("longer"), F.col("value").alias("long")), "longer")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[list[str], frozenset[str], frozenset[tuple[str, ...]]]] = {}
+            own, keys = sketched_whole(Words(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(own))], ["key", "tid"])
 
-        def words(t: str) -> tuple[list[str], frozenset[str], frozenset[tuple[str, ...]]]:
-            if t not in memo:
-                if len(memo) > 20_000:
-                    memo.clear()
-                w = [w for w in endings.tokens(t) if w[0].isalnum()]
-                memo[t] = w, frozenset(w), runs_of(w)
-            return memo[t]
+    a = stored(shorts.select("tid", "value").mapInArrow(whole, f"key bigint, tid {kind}"))
+    bits = values.sparkSession.sparkContext.broadcast(key_filter(a))
 
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passes(*bits.value)
         for b in batches:
-            done: set[int] = set()
-            for i, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if i in done:
-                    continue
-                a, (b_words, of_b, runs) = words(x)[0], words(y)
-                if shingles_shared(a, b_words, runs) >= SIMILAR and words_stop_early(a, b_words, of_b):
-                    done.add(i)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], ["tid"])
+            own, place, keys = sketched_beginnings(Words(b.column(1).to_pylist()), passes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(place.astype(np.int32))], ["key", "longer", "place"])
 
-    return texts.select("tid", "value", "long").mapInArrow(verify, "tid bigint").distinct()
+    longer = values.select("tid", "value").mapInArrow(beginnings, f"key bigint, longer {kind}, place int")
+    pairs = stored(longer.join(few_or_not(a), "key").where("tid <> longer").select("tid", "longer", "place").distinct())
+    texts = few_or_not(pairs).join(values.select(F.col("tid").alias("longer"), F.col("value").alias("long")), "longer").join(few_or_not(shorts.select("tid", "value")), "tid")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, how = [], []
+            memo: dict[str, list[str]] = {}
+            for i, (x, y, p) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                a = memo.get(x)
+                if a is None:
+                    a = memo[x] = only_words(x)
+                if h := stops(a, *marked_words(y), p):
+                    own.append(i)
+                    how.append(HOW.index(h))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(how, pa.int32())], ["tid", "how"])
+
+    found = texts.select("tid", "value", "long", "place").mapInArrow(verify, f"tid {kind}, how int").groupBy("tid").agg(F.min("how").alias("low"), F.max("how").alias("high"))
+    names = F.array(*[F.lit(h) for h in HOW])
+    out = stored(found.select("tid", F.element_at(names, F.when(F.col("high") == 3, 3).otherwise(F.col("low")) + 1).alias("how")))
+    dropped(a, pairs)
+    return out
 
 
 def limits(values: DataFrame, source: str, column: str) -> dict[str, dict[int, float]]:
@@ -253,69 +319,85 @@ def limits(values: DataFrame, source: str, column: str) -> dict[str, dict[int, f
     )
     w = Window.partitionBy("source").orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
     near = lens.withColumn("around", (F.sum("n").over(w) - F.col("n")) / F.lit(2.0 * LIMIT_AROUND))
-    rows = near.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_TIMES * F.col("around"))).collect()
+    usual = F.greatest("around", F.lit(0.5))
+    # Poisson log likelihood of the count under a rate of its own, less that under the rate around
+    ratio = F.col("n") * F.log(F.col("n") / usual) - F.col("n") + usual
+    rows = near.where((F.col("n") >= LIMIT_TIMES * usual) & (ratio >= LIMIT_RATIO)).collect()
     out: dict[str, dict[int, float]] = {}
     for r in rows:
         out.setdefault(r["source"], {})[r["size"]] = math.log((r["n"] - r["around"]) / max(r["around"], 0.5))
     return out
 
 
-def judge(text: str, source: str, model: endings.Model, marks: dict[str, dict[int, float]]) -> bool:
-    """Whether a value lost its end, going by its own last characters, its length and its closing words."""
+NO, DOUBT, WORDS, SURE = range(4)
+
+
+def verdict(text: str, source: str, model: endings.Model, marks: dict[str, dict[int, float]]) -> int:
+    """Whether the value lost its end, by itself: NO, DOUBT (closing words speak for it, not enough), WORDS (they do), or SURE (its last characters or a field limit do)."""
     if not is_value(text):
-        return False
+        return NO
     if text.rstrip().endswith("�"):
-        return True
+        return SURE
     s = endings.stem(text)
     if s.endswith("-") and len(s) > 1 and s[-2].isalpha():
-        return True
+        return SURE
     if endings.closed(text):
-        return False
+        return NO
     score = model.score(text)
     limit = marks.get(source, {}).get(len(text))
-    dots = s.endswith(("...", "…"))
-    if limit is not None and not dots:
-        return score < min(4.0, limit)
-    return score < CUT
+    if limit is not None and not s.endswith(("...", "…")):
+        return SURE if score < min(4.0, limit) else NO
+    return WORDS if score < CUT else DOUBT if score < 0 else NO
+
+
+def judge(text: str, source: str, model: endings.Model, marks: dict[str, dict[int, float]]) -> bool:
+    """Whether a value lost its end, going by itself alone."""
+    return verdict(text, source, model, marks) >= WORDS
 
 
 def values_of(spark: SparkSession, rewrites: DataFrame, explanations: DataFrame) -> DataFrame:
     """(src_table, row_id, dataset, value) of the two tables; datasets under their right names."""
-    from millrace.llm.canon import dataset_name
-
     a = rewrites.select(F.lit("train_pseudo_rewrites_merged").alias("src_table"), "row_id", dataset_name(F.col("dataset")).alias("dataset"), F.col("pseudo_rewrite").alias("value"))
     b = explanations.select(F.lit("train_explanations_merged").alias("src_table"), "row_id", dataset_name(F.col("dataset")).alias("dataset"), F.col("explanation.implicit_meaning").alias("value"))
     return a.unionByName(b)
 
 
+def text_id(value: str) -> Column:
+    """128 bits of a text: no two of a corpus share them."""
+    return F.unhex(F.md5(value))
+
+
 def flagged(values: DataFrame) -> DataFrame:
     """`values` (src_table, row_id, dataset, value) with `cut`: whether the value lost its end.
 
-    Null, blank and null-like values and error markers are never cut; values of one word neither. Repeated rows
-    are judged each. An empty table gives an empty result. (src_table, row_id) is expected to be unique.
+    Null, blank and null-like values and error markers are never cut; values of one word neither. Values that close with a
+    full stop are whole, also where a copy goes on with another sentence. Repeated rows are judged each, and need no key
+    of their own. An empty table gives an empty result.
     """
     spark = values.sparkSession
     rows = values.where(F.col("value").isNotNull()).withColumn("source", F.concat_ws("\u0001", "src_table", "dataset"))
-    rows = rows.withColumn("vid", F.xxhash64("src_table", "row_id"))
     vocabulary, n = endings.vocabulary(rows, "value")
-    model = endings.fit(endings.sample_closed(rows, "value", "vid", n), vocabulary)
+    model = endings.fit(endings.sample_closed(rows, "value", "value", n), vocabulary)
     shared = spark.sparkContext.broadcast((model, limits(rows, "source", "value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, marks = shared.value
         for b in batches:
-            got = [judge(t, s, model, marks) for t, s in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             texts = b.column(3).to_pylist()
-            rest = [t if not g and is_value(t) and not endings.closed(t) else None for t, g in zip(texts, got, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.bool_()), pa.array(rest, pa.string())], ["src_table", "row_id", "dataset", "own", "rest"])
-
-    # `rest`: unclosed values that only a near-copy can show to be cut
-    own = stored(rows.select("src_table", "row_id", "dataset", "value", "source").mapInArrow(run, "src_table string, row_id bigint, dataset string, own boolean, rest string"))
-    tid = F.xxhash64("value").alias("tid")
-    shorts = own.where("rest is not null").select(F.col("rest").alias("value")).distinct().select(tid, "value")
-    early = few_or_not(stored(early_copies(shorts, rows.select("value").distinct().select(tid, "value"))).withColumn("copy", F.lit(True)))
-    hit = own.withColumn("tid", F.when(F.col("rest").isNotNull(), F.xxhash64("rest"))).join(early, "tid", "left")
-    return hit.select("src_table", "row_id", "dataset", (F.col("own") | F.coalesce("copy", F.lit(False))).alias("cut"))
+            got = [verdict(t, s, model, marks) for t, s in zip(texts, b.column(4).to_pylist(), strict=True)]
+            rest = [t if g < SURE and (g or is_value(t) and not endings.closed(t)) else None for t, g in zip(texts, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.int8()), pa.array(rest, pa.string())], ["src_table", "row_id", "dataset", "own", "rest"])
+
+    # `rest`: unclosed values, of which a longer near-copy may tell more than they do themselves
+    key = values.schema["row_id"].dataType.simpleString()
+    own = stored(spread(rows.select("src_table", "row_id", "dataset", "value", "source")).mapInArrow(run, f"src_table string, row_id {key}, dataset string, own tinyint, rest string"))
+    shorts = stored(own.where("rest is not null").select(F.col("rest").alias("value")).distinct().select(text_id("value").alias("tid"), "value"))
+    copies = few_or_not(matched(shorts, rows.select("value").distinct().select(text_id("value").alias("tid"), "value")))
+    dropped(shorts)
+    hit = own.withColumn("tid", text_id("rest")).join(copies, "tid", "left")
+    own, how = F.col("own"), F.col("how")
+    cut = F.when(own == SURE, True).when(how == "inside", True).when(how == "before", own >= DOUBT).when(how == "whole", False).otherwise(own == WORDS)
+    return hit.select("src_table", "row_id", "dataset", cut.alias("cut"))
 
 
 def found(values: DataFrame) -> DataFrame:
