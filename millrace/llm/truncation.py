@@ -27,8 +27,8 @@ from millrace.session import dropped, few_or_not, spread, stored, table
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Bands and rows of the min-hash: pairs of similarity 0.8 miss each other in all bands with a probability of 0.0008.
-BANDS, ROWS = 10, 3
+#: Bands and rows of the min-hash: pairs of similarity 0.8 miss each other in all bands with a probability of 0.009.
+BANDS, ROWS = 12, 5
 #: Lengths of beginnings, in words, that are sketched: each up to twelve, then in steps of a tenth.
 DENSE, STEP = 12, 1.1
 #: Words that a beginning and its near-copy may differ in length.
@@ -65,24 +65,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
 class Words:
-    """The words of a batch of texts as one array of hashes: `n` of each text from `first` on, with a hash of each one's first letter."""
+    """The words of a batch of texts as one array of hashes: `n` of each text from `first` on, with each one's first letter and what follows it."""
 
     def __init__(self, texts: list[str]):
         memo: dict[str, int] = {}
         ids: list[int] = []
-        self.letters: list[int] = []
-        lens = []
+        letters: list[int] = []
+        lens, after = [], []
         for t in texts:
-            words = only_words(t)
+            words, marks = marked_words(t)
             for w in words:
                 h = memo.get(w)
                 if h is None:
                     h = memo[w] = zlib.crc32(w.encode()) * 2_654_435_761 + zlib.adler32(w[::-1].encode())
                 ids.append(h)
-                self.letters.append(ord(w[0]))
+                letters.append(ord(w[0]))
             lens.append(len(words))
+            after.append(marks)
         self.ids = np.array(ids, np.uint64)
+        self.letters = np.array(letters, np.uint64)
+        self.marks = np.frombuffer("".join(after).encode(), np.uint8).astype(np.uint64)
         self.n = np.array(lens, np.int64)
         self.first = np.cumsum(self.n) - self.n
 
@@ -91,88 +97,89 @@ class Words:
         s = np.zeros(len(self.ids), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(SHINGLE):
-                s = (s ^ np.roll(self.ids, -k)) * np.uint64(0x9E3779B97F4A7C15)
+                s = (s ^ np.roll(self.ids, -k)) * _A
                 s ^= s >> np.uint64(29)
         return s
 
-    def pairs_before(self) -> np.ndarray:
+    def ends(self) -> np.ndarray:
         """A hash of the two words before each word and of its first letter; what comes before the third word is not to be used."""
         with np.errstate(over="ignore"):
-            two = np.roll(self.ids, 2) * np.uint64(0x9E3779B97F4A7C15) + np.roll(self.ids, 1)
-            return _mix(two * np.uint64(0xD6E8FEB86659FD93) + np.array(self.letters, np.uint64))
+            return _mix((np.roll(self.ids, 2) * _A + np.roll(self.ids, 1)) * _B + self.letters)
+
+    def beginnings(self) -> np.ndarray:
+        """A hash of each text up to each word, with what follows that one: all that `stops` looks at."""
+        own = np.repeat(np.arange(len(self.n)), self.n)
+        with np.errstate(over="ignore"):
+            each = _mix(self.ids * _A + (np.arange(len(self.ids)) - self.first[own]).astype(np.uint64) * _B)
+            upto = np.cumsum(each)
+            return _mix(upto - (upto - each)[self.first[own]] + self.marks * _A)
 
 
 def only_words(text: str) -> list[str]:
     return [w for w in endings.tokens(text) if w[0].isalnum()]
 
 
-def _hashes(shingles: np.ndarray, i: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix((shingles ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))) * np.uint64(0xC4CEB9FE1A85EC53))
-
-
-def _bands(least: np.ndarray, g) -> np.ndarray:
-    """Band keys (a column for each band) from the minima, ROWS of them to a band; `g`: the length of the beginning."""
-    out = np.zeros((least.shape[1], BANDS), np.uint64)
+def _band_keys(shingles: np.ndarray, first: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each beginning of `g` words from `first` on its BANDS keys."""
+    count = g - SHINGLE + 1
+    start = np.cumsum(count) - count
+    s = shingles[np.repeat(first - start, count) + np.arange(int(count.sum()))]
+    out = np.zeros((len(first), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            h = np.full(least.shape[1], np.uint64(b + 1)) + np.asarray(g, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = g.astype(np.uint64) * _A + np.uint64(b + 1)
             for r in range(ROWS):
-                h = _mix((h ^ least[b * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15))
+                i = np.uint64((b * ROWS + r + 1) * int(_B) & (2**64 - 1))
+                h = _mix((h ^ np.minimum.reduceat(_mix((s ^ i) * _A), start)) * _A)
             out[:, b] = h
     return out
 
 
-def sketched_whole(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) for each band of the texts as they are: all their words but the last, which may be a part of one."""
+def _end_keys(ends: np.ndarray, g) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(ends ^ (np.asarray(g, np.uint64) * _A + np.uint64(1)))
+
+
+def sketched_whole(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key) for each band of the texts as they are: all their words but the last, which may be a part of one. And their end keys."""
     own = np.flatnonzero(w.n - 1 >= SHINGLE)
     if not len(own):
-        return own, np.zeros(0, np.uint64)
+        return own, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     lengths = np.array(grid(int(w.n.max())))
     g = lengths[np.searchsorted(lengths, w.n[own] - 1, side="right") - 1]
-    s = w.shingles()
-    edges = np.stack([w.first[own], w.first[own] + g - SHINGLE + 1], axis=1).ravel()
-    least = np.stack([np.minimum.reduceat(_hashes(s, i), edges)[::2] for i in range(BANDS * ROWS)])
-    end = w.pairs_before()[w.first[own] + w.n[own] - 1]
+    end = w.ends()[w.first[own] + w.n[own] - 1]
     with np.errstate(over="ignore"):
-        keys = _mix(_bands(least, g) + end[:, None])
-    return np.repeat(own, BANDS), keys.ravel()
+        keys = _mix(_band_keys(w.shingles(), w.first[own], g) + end[:, None])
+    return np.repeat(own, BANDS), keys.ravel(), _end_keys(end, g)
 
 
-def sketched_beginnings(w: Words, passes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, key) for each band of each beginning of the texts that passes the filter.
+def sketched_beginnings(w: Words, passes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, key, beginning) for each band of each beginning of the texts that passes the filter; equal beginnings once.
 
     `place` is the number of the word in which the shorter text would stop, counted from 0: the pair of words before it
     and its first letter are part of the key, and it lies SHIFT words at most off what the beginning's length allows.
     """
-    none = np.zeros(0, np.int64)
     lengths = grid(int(w.n.max(initial=0)))
-    if not lengths:
-        return none, none, none.view(np.uint64)
-    s, ends = w.shingles(), w.pairs_before()
-    x = np.stack([_hashes(s, i) for i in range(BANDS * ROWS)])
-    least = np.full((BANDS * ROWS, len(w.n)), np.iinfo(np.uint64).max, np.uint64)
-    done, out = SHINGLE - 1, ([], [], [])
-    for g, after in zip(lengths, [*lengths[1:], lengths[-1] + 1], strict=True):
+    ends, texts, sizes, places = w.ends(), [], [], []
+    for g, after in zip(lengths, [*lengths[1:], (lengths or [0])[-1] + 1], strict=True):
         some = np.flatnonzero(w.n > g)
-        if not len(some):
-            break
-        for j in range(done, g):  # the shingles that end with word j
-            least[:, some] = np.minimum(least[:, some], x[:, w.first[some] + j - SHINGLE + 1])
-        done = g
-        keys = _bands(least[:, some], np.full(len(some), g))
         for place in range(max(2, g - SHIFT), after + SHIFT):
-            at = np.flatnonzero(w.n[some] > place)
-            if not len(at):
-                break
-            with np.errstate(over="ignore"):
-                k = _mix(keys[at] + ends[w.first[some[at]] + place][:, None])
-            on = passes(k)
-            i, b = np.nonzero(on)
-            out[0].append(some[at[i]])
-            out[1].append(np.full(len(i), place))
-            out[2].append(k[i, b])
-    return tuple(np.concatenate(c) for c in out) if out[0] else (none, none, none.view(np.uint64))
+            at = some[w.n[some] > place]
+            at = at[passes(_end_keys(ends[w.first[at] + place], g))]
+            texts.append(at)
+            sizes.append(np.full(len(at), g))
+            places.append(np.full(len(at), place))
+    if not sum(map(len, texts)):
+        nil = np.zeros(0, np.int64)
+        return nil, nil, nil.view(np.uint64), nil.view(np.uint64)
+    text, g, place = (np.concatenate(x) for x in (texts, sizes, places))
+    begins = w.beginnings()[w.first[text] + place]
+    with np.errstate(over="ignore"):
+        _, once = np.unique(_mix(begins ^ (g.astype(np.uint64) * _B)), return_index=True)
+        text, g, place, begins = text[once], g[once], place[once], begins[once]
+        keys = _mix(_band_keys(w.shingles(), w.first[text], g) + ends[w.first[text] + place][:, None])
+    i, b = np.nonzero(passes(keys))
+    return text[i], place[i], keys[i, b], begins[i]
 
 
 def bits_for(keys: int) -> int:
@@ -223,7 +230,7 @@ def stops(short: list[str], long: list[str], marks: str, place: int) -> str | No
 
     None if they are no near-copies.
     `short` and `long` are words; `marks` tells what follows each word of the longer text: a full stop or the like (`.`),
-    another mark (`,`), a word in capitals (`A`) or nothing of these (` `). At least SIMILAR of the shorter text's
+    another mark (`,`), a word in capitals (`A`), the end of the text (`$`) or another word (` `). At least SIMILAR of the shorter text's
     five-word runs must stand in the longer one before `place`, where its last word must stand or begin.
     """
     if len(short) <= SHINGLE or place >= len(long) or not long[place].startswith(short[-1]) or short[-2] != long[place - 1]:
@@ -233,17 +240,15 @@ def stops(short: list[str], long: list[str], marks: str, place: int) -> str | No
         return None
     if long[place] != short[-1]:
         return "inside"
-    if place + 1 == len(long):
-        return None
-    return {".": "whole", " ": "before"}.get(marks[place], "open")
+    return {".": "whole", " ": "before", "$": None}.get(marks[place], "open")
 
 
 def runs_of(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-#: How a text stops, from the strongest sign of an early end down; a sentence that ends there outweighs them all.
-HOW = ("inside", "before", "open", "whole")
+#: How a text stops, as bits of what its copies say.
+HOW = {"inside": 1, "before": 2, "open": 4, "whole": 8}
 
 
 def marked_words(text: str) -> tuple[list[str], str]:
@@ -254,34 +259,41 @@ def marked_words(text: str) -> tuple[list[str], str]:
         if t[0].isalnum():
             after = found[i + 1] if i + 1 < len(found) else ""
             words.append(t.lower())
-            marks.append(" " if not after else "." if after[0] in ".!?…" else "A" if after[0].isupper() else " " if after[0].isalnum() else ",")
+            marks.append("$" if not after else "." if after[0] in ".!?…" else "A" if after[0].isupper() else " " if after[0].isalnum() else ",")
     return words, "".join(marks)
 
 
 def matched(shorts: DataFrame, values: DataFrame) -> DataFrame:
     """(tid, how) of the values of `shorts` with a longer near-copy among `values`: how they stop (see `stops`). Both: distinct (tid, value).
 
-    Of several copies one that ends a sentence there counts first, else the strongest sign of an early end. Every
-    short value meets every value of its bands, no partner is left out; values in none of them are not shuffled.
+    Of several copies one that ends a sentence there counts more than one that goes on with another word; if one ends a
+    sentence and another goes on inside the word, they tell nothing (`open`). Every
+    short value meets every different beginning in its bands, none is left out; values in none of them are not shuffled.
     """
     kind = shorts.schema["tid"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, keys = sketched_whole(Words(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(own))], ["key", "tid"])
+            own, keys, ends = sketched_whole(Words(b.column(1).to_pylist()))
+            tids = b.column(0).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, ends]).view(np.int64)), pa.concat_arrays([tids, pa.nulls(len(ends), tids.type)])], ["key", "tid"])
 
+    # keys of bands with their text, and of ends without: only the filter needs these
     a = stored(shorts.select("tid", "value").mapInArrow(whole, f"key bigint, tid {kind}"))
     bits = values.sparkSession.sparkContext.broadcast(key_filter(a))
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = _passes(*bits.value)
         for b in batches:
-            own, place, keys = sketched_beginnings(Words(b.column(1).to_pylist()), passes)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(place.astype(np.int32))], ["key", "longer", "place"])
-
-    longer = values.select("tid", "value").mapInArrow(beginnings, f"key bigint, longer {kind}, place int")
-    pairs = stored(longer.join(few_or_not(a), "key").where("tid <> longer").select("tid", "longer", "place").distinct())
+            own, place, keys, begins = sketched_beginnings(Words(b.column(1).to_pylist()), passes)
+            cols = [pa.array(keys.view(np.int64)), pa.array(begins.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "beginning", "longer", "place"])
+
+    # texts that begin alike stand for each other: what follows is not looked at
+    longer = values.select("tid", "value").mapInArrow(beginnings, f"key bigint, beginning bigint, longer {kind}, place int")
+    longer = longer.groupBy("key", "beginning").agg(F.min(F.struct("longer", "place")).alias("x"))
+    pairs = longer.join(few_or_not(a.where("tid is not null")), "key").groupBy("tid", "beginning").agg(F.min("x").alias("x"))
+    pairs = stored(pairs.where("x.longer <> tid").select("tid", "x.longer", "x.place"))
     texts = few_or_not(pairs).join(values.select(F.col("tid").alias("longer"), F.col("value").alias("long")), "longer").join(few_or_not(shorts.select("tid", "value")), "tid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +306,16 @@ def matched(shorts: DataFrame, values: DataFrame) -> DataFrame:
                     a = memo[x] = only_words(x)
                 if h := stops(a, *marked_words(y), p):
                     own.append(i)
-                    how.append(HOW.index(h))
+                    how.append(HOW[h])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(how, pa.int32())], ["tid", "how"])
 
-    found = texts.select("tid", "value", "long", "place").mapInArrow(verify, f"tid {kind}, how int").groupBy("tid").agg(F.min("how").alias("low"), F.max("how").alias("high"))
-    names = F.array(*[F.lit(h) for h in HOW])
-    out = stored(found.select("tid", F.element_at(names, F.when(F.col("high") == 3, 3).otherwise(F.col("low")) + 1).alias("how")))
+    found = texts.select("tid", "value", "long", "place").mapInArrow(verify, f"tid {kind}, how int").groupBy("tid").agg(F.bit_or("how").alias("says"))
+
+    def said(*how: str) -> Column:
+        return F.col("says").bitwiseAND(F.lit(sum(HOW[h] for h in how))) != 0
+
+    how = F.when(said("inside") & said("whole"), "open").when(said("whole"), "whole").when(said("inside"), "inside").when(said("before"), "before").otherwise("open")
+    out = stored(found.select("tid", how.alias("how")))
     dropped(a, pairs)
     return out
 

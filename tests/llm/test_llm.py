@@ -369,16 +369,16 @@ def test_bands_of_beginnings():
     words = sentence(random.Random(5), 60)
     long, other = " ".join(words), " ".join(sentence(random.Random(6), 60))
     for n in range(6, 60):
-        _, keys = truncation.sketched_whole(truncation.Words([" ".join(words[:n])]))
-        assert len(keys) == truncation.BANDS
+        _, keys, ends = truncation.sketched_whole(truncation.Words([" ".join(words[:n])]))
+        assert len(keys) == truncation.BANDS and len(ends) == 1
 
-        def passes(k, keys=keys):
+        def passes(k, keys=np.concatenate([keys, ends])):
             return np.isin(k, keys)
 
-        own, place, found = truncation.sketched_beginnings(truncation.Words([other, long, "too short"]), passes)
+        own, place, found, _ = truncation.sketched_beginnings(truncation.Words([other, long, "too short", long + " too"]), passes)
         assert set(own) == {1} and n - 1 in set(place) and set(found) == set(keys)
-    own, keys = truncation.sketched_whole(truncation.Words(["too short", "", "one two three four five"]))
-    assert not len(own) and not len(keys)
+    own, keys, ends = truncation.sketched_whole(truncation.Words(["too short", "", "one two three four five"]))
+    assert not len(own) and not len(keys) and not len(ends)
 
 
 def test_flagged(spark):
