@@ -1,9 +1,9 @@
 """Problem 3: scores for abusive, hateful and sexually explicit language.
 
 Words are brought to their plain form first: look-alike letters, digits for letters, inserted marks and repeated
-letters are undone, and rare words within one edit of a lexicon term are read as that term. The lexicon is a
-trie walked together with a Levenshtein automaton; it holds the given terms and the words that reviewers' labels
-show to be telling. Then a linear model over word n-grams scores every window of WINDOW words; the text's score
+letters are undone, and rare words within one edit of a lexicon term (two for long ones) are read as that term, marked
+as misspelt. The lexicon is a trie walked together with a Levenshtein automaton; it holds the given terms, the words of
+those that have several, and the words that reviewers' labels show to be telling. Then a linear model over word n-grams scores every window of WINDOW words; the text's score
 is its best window, so that words which quote, reject or soften a term count where they stand near it and
 abuse elsewhere in the text is not averaged away.
 """
@@ -31,10 +31,14 @@ LABELLED = 15_000
 BACKGROUND, BACKGROUND_WEIGHT, DOUBT = 1, 0.1, 0.8
 #: Log odds beyond which a text on the right side teaches nothing more.
 MARGIN = 2.5
+#: Letters from which a term may differ in two edits (the first letter must agree then); shorter ones, from four on, in one.
+LONG = 8
 #: n-grams seen less often among the labelled texts carry no weight.
 RARE = 3
 WINDOW = 10
 GRAMS = 4
+#: n-grams of each length, and misspelt terms.
+COLUMNS = GRAMS + 1
 DIM = 1 << 19
 #: Words in at least this share of the distinct texts (and KNOWN_LEAST of them) are spelled as they are meant, but see `trusted`.
 KNOWN, KNOWN_LEAST = 2e-4, 5
@@ -67,13 +71,23 @@ def words(text: str) -> list[str]:
     return [w for c in chunks(text) for w in TOKEN.findall(fold(c))]
 
 
+def _shortened(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters deleted."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 @dataclass
 class Lexicon:
-    """Terms in a trie, searched with a Levenshtein automaton of one edit (an exchange of neighbours counts as one)."""
+    """Terms in a trie, searched with a Levenshtein automaton (an exchange of neighbours counts as one edit)."""
 
     terms: frozenset[str]
     trie: dict = field(default_factory=dict)
     near: frozenset[str] = frozenset()
+    near_long: frozenset[str] = frozenset()
 
     @classmethod
     def of(cls, terms) -> Lexicon:
@@ -83,25 +97,27 @@ class Lexicon:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-        near = {t[:i] + t[i + 1 :] for t in lex.terms for i in range(len(t))} | set(lex.terms)
-        lex.near = frozenset(near)
+        lex.near = frozenset().union(*(_shortened(t, 1) for t in lex.terms))
+        lex.near_long = frozenset().union(*(_shortened(t, 2) for t in lex.terms if len(t) >= LONG))
         return lex
 
     def may_match(self, word: str) -> bool:
-        """Whether any term can be within one edit: both then share a form with at most one letter deleted."""
-        return "*" in word or word in self.near or not self.near.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))])
+        """Whether any term can be near enough: both then share a form with as many letters deleted as edits are allowed."""
+        return "*" in word or not self.near.isdisjoint(_shortened(word, 1)) or len(word) >= LONG - 2 and not self.near_long.isdisjoint(_shortened(word, 2))
 
     def match(self, word: str) -> str | None:
-        """The term within one edit of the word (two from eight letters on if it has stars); `*` stands for any letter.
+        """The nearest term: within one edit from four letters on, two from LONG on; `*` stands for any letter, and allows no edits.
 
-        States of the automaton are rows of the edit table, kept only while some entry is within the bound.
+        A starred word must show two letters and half of the term. States of the automaton are rows of the edit
+        table, kept only while some entry is within the bound.
         """
         if word in self.terms:
             return word
-        if len(word.replace("*", "")) < 3 or not self.may_match(word):
+        plain = len(word.replace("*", ""))
+        if len(word) < 3 or plain < max(2, len(word) / 2) or not self.may_match(word):
             return None
-        most = 1 if len(word) >= 4 and "*" not in word else 0
         n = len(word)
+        most = 0 if "*" in word else 2 if n >= LONG - 2 else 1 if n >= 3 else 0
         best: tuple[int, str] | None = None
         first = list(range(n + 1))
         stack: list = [(self.trie, first, None, "")]
@@ -109,8 +125,10 @@ class Lexicon:
             node, row, before, letter = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= most and (best is None or (row[n], child) < best) and len(child) >= 3 + most:
-                        best = (row[n], child)
+                    d = row[n]
+                    allowed = 0 if most == 0 else 2 if len(child) >= LONG and child[0] == word[0] else 1 if len(child) >= 4 and n >= 4 else 0
+                    if d <= min(most, allowed) and (best is None or (d, child) < best):
+                        best = (d, child)
                     continue
                 new = [row[0] + 1]
                 for j in range(1, n + 1):
@@ -133,13 +151,19 @@ class Reader:
     memo: dict[str, list[int]] = field(default_factory=dict)
 
     def plain(self, w: str) -> str:
-        """Known words stay, disguised or misspelt terms become terms; links, handles, numbers and rare words are masked."""
+        return self.read(w)[0]
+
+    def read(self, w: str) -> tuple[str, bool]:
+        """A word in plain form, and whether it is a misspelt term.
+
+        Known words stay, disguised or misspelt terms become terms; links, handles, numbers and rare words are masked.
+        """
         if w in self.known or w in self.lexicon.terms:
-            return w
+            return w, False
         if w[0] in "@#" or w.startswith("http"):
-            return "<ref>"
+            return "<ref>", False
         if w.isdigit():
-            return "<num>"
+            return "<num>", False
         if w.isalpha():
             forms = [w]
         else:
@@ -152,38 +176,43 @@ class Reader:
             forms += [REPEAT.sub(r"\1", f) for f in forms] + [REPEAT.sub(r"\1\1", f) for f in forms]
         for f in forms:
             if f in self.lexicon.terms or f in self.known:
-                return f
+                return f, False
         for f in forms:
             if t := self.lexicon.match(f):
-                return t
-        return "<rare>"
+                return t, True
+        return "<rare>", False
 
     def ids(self, text: str) -> list[int]:
+        """Ids of the plain words: odd numbers, with bit 32 set for misspelt terms."""
         memo, out = self.memo, []
         for c in chunks(text):
             got = memo.get(c)
             if got is None:
                 if len(memo) > 300_000:
                     memo.clear()
-                got = memo[c] = [zlib.crc32(self.plain(w).encode()) | 1 for w in TOKEN.findall(fold(c))]
+                got = memo[c] = [zlib.crc32(p.encode()) | 1 | off << 32 for p, off in map(self.read, TOKEN.findall(fold(c)))]
             out += got
         return out
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    x = h ^ (h >> np.uint64(31))
+    return ((x * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - 19)).astype(np.int64)
+
+
 def grams(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Slots of the n-grams (1 to GRAMS) ending at each word: a column per n; -1 where the text is too short."""
+    """Slots of the n-grams (1 to GRAMS) of plain words that end at each word, a column per n, and one for a misspelt term; -1 for none."""
     n = len(ids)
-    out = np.full((n, GRAMS), -1, np.int64)
+    out = np.full((n, COLUMNS), -1, np.int64)
     pos = np.arange(n) - start
     h = np.zeros(n, np.uint64)
-    u = ids.astype(np.uint64)
+    u = ids.astype(np.uint64) & np.uint64(0xFFFFFFFF)
     with np.errstate(over="ignore"):
         for k in range(GRAMS):
             prev = np.roll(u, k)
             h = h * np.uint64(0x9E3779B97F4A7C15) + (prev * np.uint64(0xD6E8FEB86659FD93))
-            x = h ^ (h >> np.uint64(31))
-            x = (x * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - 19)
-            out[:, k] = np.where(pos >= k, x.astype(np.int64), -1)
+            out[:, k] = np.where(pos >= k, _slot(h), -1)
+        out[:, GRAMS] = np.where(ids >> 32 > 0, _slot(u * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(2)), -1)
     return out
 
 
@@ -230,7 +259,7 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
     """
     rng = np.random.default_rng(seed)
     # words that reviewers' labels show to be telling join the lexicon
-    plain = Reader(known, Lexicon.of(terms))
+    plain = Reader(known, Lexicon.of(single(terms)))
     count = {0: Counter(), 1: Counter()}
     n = Counter(y for _, y in labelled)
     for t, y in labelled:
@@ -239,12 +268,12 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
         w for w, k in count[1].items()
         if k >= 3 and len(w) >= 3 and k / max(1, n[1]) >= 5 * (count[0][w] + 0.5) / max(1, n[0])
     }
-    lexicon = frozenset(terms) | telling
+    lexicon = single(terms) | telling
     reader = Reader(known, Lexicon.of(lexicon))
     w = np.zeros(DIM + 1)  # the last slot stands for absent n-grams
-    for t, x in terms.items():
-        ids = np.array([zlib.crc32(t.encode()) | 1], np.int64)
-        w[grams(ids, np.zeros(1, np.int64))[0, 0]] = 3.0 * x
+    for t, x in terms.items():  # a term of several words starts as their n-gram
+        ids = np.array(reader.ids(t)[-GRAMS:], np.int64)
+        w[grams(ids, np.zeros(len(ids), np.int64))[-1, len(ids) - 1]] = 3.0 * x
     bias = -2.5
     rows = [(r, y) for t, y in labelled if (r := reader.ids(t))]
     n_labelled = len(rows)
@@ -257,7 +286,7 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
         g = grams(ids, np.repeat(first, lens))
         g[g < 0] = DIM
         seen = np.bincount(g[: lens[:n_labelled].sum()].ravel(), minlength=DIM + 1)
-        g[seen[g] < (2 if n_labelled < 500 else RARE)] = DIM  # what one text alone has teaches nothing
+        g[seen[g] < RARE] = DIM  # what a few texts alone have teaches nothing
         acc = np.full(DIM + 1, 1.0)
         weight = np.where(np.arange(len(y)) < n_labelled, 1.0, BACKGROUND_WEIGHT)
         used = np.arange(n_labelled)
@@ -278,7 +307,7 @@ def fit(labelled: list[tuple[str, int]], terms: dict[str, float], known: frozens
                 d[np.where(y[pick] == 1, z > MARGIN, z < -MARGIN)] = 0.0  # clear cases would only push harmless words down
                 inside = (at <= best[own]) & (at > best[own] - WINDOW) if epoch else np.ones(len(sl), bool)
                 idx = g[sl][inside].ravel()
-                step = np.bincount(idx, np.repeat(d[own][inside], GRAMS), DIM + 1)
+                step = np.bincount(idx, np.repeat(d[own][inside], COLUMNS), DIM + 1)
                 hit = np.flatnonzero(step)
                 hit = hit[hit < DIM]
                 acc[hit] += step[hit] ** 2
@@ -326,13 +355,18 @@ def known_words(texts: DataFrame, column: str) -> frozenset[str]:
     return frozenset(got.loc[(got["word"] != "") & (got["n"] >= max(KNOWN_LEAST, KNOWN * n)), "word"])
 
 
+def single(terms: Iterable[str]) -> frozenset[str]:
+    """The terms of one word, and the words of the others that are no function words: what spellings are compared with."""
+    return frozenset(w for t in terms for w in t.split() if " " not in t or w not in FUNCTION_WORDS and len(w) > 3)
+
+
 def trusted(known: frozenset[str], labelled: list[tuple[str, int]], terms: Iterable[str]) -> frozenset[str]:
     """The known words without those that a lexicon term is within one edit of, unless labels show them harmless.
 
     How often a misspelling stands in the corpus says nothing about what it means. Labels show a word harmless if it
     stands in a larger share of the harmless texts than of the abusive ones; fixed function words are harmless anyway.
     """
-    lexicon = Lexicon.of(terms)
+    lexicon = Lexicon.of(single(terms))
     near = {w for w in known if w not in lexicon.terms and w not in FUNCTION_WORDS and lexicon.match(w)}
     if not near:
         return known
@@ -343,11 +377,10 @@ def trusted(known: frozenset[str], labelled: list[tuple[str, int]], terms: Itera
 
 
 def terms_of(rows: DataFrame) -> dict[str, float]:
-    """Lexicon terms with their weights (null: 0.5); words of multi-word terms don't join it on their own."""
+    """Lexicon terms with their weights (null: 0.5); blanks within a term are single ones."""
     out: dict[str, float] = {}
     for r in rows.select("term", "weight").collect():  # a fixed, small table
-        t = fold((r["term"] or "").strip())
-        if t and " " not in t:
+        if t := " ".join(fold(r["term"] or "").split()):
             out[t] = max(out.get(t, 0.0), 0.5 if r["weight"] is None else float(r["weight"]))
     return out
 
