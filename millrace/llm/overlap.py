@@ -7,9 +7,10 @@ neither compared nor paired with each other.
 Segment join: with k edits allowed, an evaluation text is cut into at least k + 1 segments, one of which a near
 training text must hold unchanged, at most k places further on or back. The cuts are laid so that every segment
 tells about as much (bigram statistics of the training texts), which keeps common phrases from being segments of
-their own. A training text is looked at through all its word runs; a bit filter of fixed size made from the
-evaluation segments drops nearly all of them before any shuffle. Candidates are thinned by a word-parity
-signature (each edit flips at most two of its bits) and verified by banded dynamic programming.
+their own. A training text is looked at through all its word runs; a bit filter made from the evaluation segments,
+and sized by their number, drops nearly all of them before any shuffle. Segments too many for one filter are taken in
+blocks, each against all training texts. Candidates are thinned by a word-parity signature (each edit flips at most two of
+its bits) and verified by banded dynamic programming, many pairs at a time.
 """
 
 from __future__ import annotations
@@ -17,27 +18,23 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import bitfilter
 from millrace.llm.canon import bare, clean_path, dataset_name, has_letters, ordered_panels
-from millrace.session import few_or_not, stored
+from millrace.session import dropped, few_or_not, stored
 
 WORDS_PER_EDIT = 6
 #: Texts with fewer letters and digits count as none.
 LEAST = 12
 #: Longest segment, in words.
 LONGEST = 24
-#: Bits of the filter (a power of two), whatever the size of the evaluation splits.
-FILTER_BITS = 1 << 27
-#: Tasks that make the filter, at most: each hands the driver one, to be united there.
-FILTER_TASKS = 16
-#: Segments that one task enters into the filter.
-KEYS_PER_TASK = 4_000_000
 #: Numbers of words, and places, that share a band in the filter.
 BAND = 6
 #: A bigram is counted one by one from this share of the training texts on; rarer ones tell as much as that.
@@ -57,7 +54,7 @@ def word_ids(text: str, memo: dict[str, int]) -> list[int]:
             if len(memo) > 300_000:
                 memo.clear()
             plain = re.sub(r"[\W_]+", "", w)
-            h = memo[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=4).digest(), "little", signed=True)
+            h = memo[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True)
         out.append(h)
     return out
 
@@ -89,6 +86,41 @@ def distance_within(a: list[int], b: list[int], k: int) -> bool:
     return row.get(m, far) <= k
 
 
+def distances_within(a: tuple, b: tuple, k: np.ndarray, block: int = 4096) -> np.ndarray:
+    """`distance_within` for many pairs: `a` and `b` as from `_flat`, `k` edits allowed for each pair.
+
+    Pairs of like length are taken together; a block's table is the band of one row for each of its pairs.
+    """
+    (ia, fa, na), (ib, fb, nb) = a, b
+    out = np.zeros(len(na), bool)
+    todo = np.flatnonzero(np.abs(na - nb) <= k)
+    todo = todo[np.lexsort((k[todo], na[todo]))]
+    for at in range(0, len(todo), block):
+        p = todo[at : at + block]
+        n, m, most = na[p], nb[p], k[p]
+        rows, wide = int(n.max()), int(most.max())
+        far = wide + 1
+        d = np.arange(-wide, wide + 1)
+        d0 = np.where(d >= 0, np.minimum(d, far), far)
+        table = np.repeat(d0[None, :], len(p), axis=0)
+        for i in range(1, rows + 1):
+            live = np.flatnonzero(i <= n)
+            col = i + d[None, :]
+            inside = (col >= 0) & (col <= m[live][:, None])
+            x = ia[fa[p[live]] + i - 1][:, None]
+            y = ib[np.clip(fb[p[live]][:, None] + np.clip(col - 1, 0, np.maximum(m[live] - 1, 0)[:, None]), 0, max(0, len(ib) - 1))] if len(ib) else np.zeros((len(live), len(d)), ia.dtype)
+            old = table[live]
+            new = old + ((x != y) | (col < 1))
+            new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
+            new = np.where(col == 0, i, new)
+            new = np.where(inside, np.minimum(new, far), far)
+            for j in range(1, len(d)):
+                new[:, j] = np.where(inside[:, j], np.minimum(new[:, j], new[:, j - 1] + 1), far)
+            table[live] = new
+        out[p] = table[np.arange(len(p)), m - n + wide] <= most
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _N
     return x ^ (x >> np.uint64(29))
@@ -114,11 +146,6 @@ def _key(runs: np.ndarray, length: int) -> np.ndarray:
         return _mix(runs + np.uint64(length) * _M)
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
-    return keys & mask, (keys >> np.uint64(34)) & mask
-
-
 def _banded(keys: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Keys of the filter: a segment with a band of text lengths and one of places."""
     with np.errstate(over="ignore"):
@@ -210,15 +237,15 @@ def tokenized(rows: DataFrame) -> DataFrame:
         for b in batches:
             rows = [word_ids(t, memo) for t in b.column(1).to_pylist()]
             n = np.array([len(r) for r in rows], np.int64)
-            flat = np.fromiter((i for r in rows for i in r), np.int32, count=int(n.sum()))
+            flat = np.fromiter((i for r in rows for i in r), np.int64, count=int(n.sum()))
             own = np.repeat(np.arange(len(n)), n)
-            bit = (_mix(flat.astype(np.int64).view(np.uint64)) >> np.uint64(58)).astype(np.int64)
+            bit = (_mix(flat.view(np.uint64)) >> np.uint64(58)).astype(np.int64)
             odd = np.bincount(own * 64 + bit, minlength=len(n) * 64).reshape(-1, 64) & 1
             sig = np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)[:, 0]
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(n.astype(np.int32)), pa.array(sig)], ["class", "ids", "n", "sig"])
 
-    return classes.select("cid", "plain").mapInArrow(run, "class bigint, ids array<int>, n int, sig bigint")
+    return classes.select("cid", "plain").mapInArrow(run, "class bigint, ids array<bigint>, n int, sig bigint")
 
 
 def _statistics(train: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -279,35 +306,24 @@ def _segmented(evals: DataFrame, stats) -> DataFrame:
     return evals.select("class", "ids", "n", "sig").mapInArrow(run, "key bigint, class bigint, place int, length int, k int, n int, sig bigint")
 
 
-def _filter(segs: DataFrame) -> np.ndarray:
-    """The bit filter over all segment keys: FILTER_BITS bits from each of FILTER_TASKS tasks at most, at any size."""
+def _filter_keys(b: pa.RecordBatch) -> np.ndarray:
+    """The keys of the filter for segments (key, n, k, place): one for each band of lengths and of places that edits can lead to."""
+    key, n, k, p = (b.column(i).to_numpy() for i in range(4))
+    key = key.view(np.uint64)
+    low, high, left, right = np.maximum(n - k, 0) // BAND, (n + k) // BAND, np.maximum(p - k, 0) // BAND, (p + k) // BAND
+    out = [np.zeros(0, np.uint64)]
+    for i in range(int((high - low).max(initial=-1)) + 1):
+        for j in range(int((right - left).max(initial=-1)) + 1):
+            on = (low + i <= high) & (left + j <= right)
+            out.append(_banded(key[on], (low + i)[on], (left + j)[on]))
+    return np.concatenate(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
-        for b in batches:
-            key, n, k, p = (b.column(i).to_numpy() for i in range(4))
-            key = key.view(np.uint64)
-            low, high, left, right = np.maximum(n - k, 0) // BAND, (n + k) // BAND, np.maximum(p - k, 0) // BAND, (p + k) // BAND
-            for i in range(int((high - low).max(initial=-1)) + 1):
-                for j in range(int((right - left).max(initial=-1)) + 1):
-                    on = (low + i <= high) & (left + j <= right)
-                    for s in _slots(_banded(key[on], (low + i)[on], (left + j)[on])):
-                        np.bitwise_or.at(bits, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-        for i, part in enumerate(np.split(bits, 16)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
-
-    few = segs.select("key", "n", "k", "place").coalesce(min(FILTER_TASKS, 1 + segs.count() // KEYS_PER_TASK))
-    out = np.zeros((16, FILTER_BITS // 64 // 16), np.uint64)
-    for r in few.mapInArrow(run, "part int, bits binary").toLocalIterator():
-        out[r["part"]] |= np.frombuffer(r["bits"], np.uint64)
-    return out.ravel()
-
-
-def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
-    """(key, class, where, sig): the word runs of the training classes that pass the filter; `where` is place * 2^32 + n."""
+
+def _matching(train: DataFrame, bits, lengths: list[int], block: int, blocks: int) -> DataFrame:
+    """(key, class, where, sig): the word runs of the training classes that pass the filter of a block; `where` is place * 2^32 + n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = bits.value
+        f, size = bits.value
         for b in batches:
             ids, first, n = _flat(b.column(1))
             if not len(ids):
@@ -323,12 +339,12 @@ def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
                     continue
                 i = np.flatnonzero(room >= length)
                 k = _key(runs[i], length)
-                for which in (0, 1):
-                    s = _slots(_banded(k, band[i], place[i]))[which]
-                    on = ((f[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    i, k = i[on], k[on]
-                keys.append(k)
-                at.append(i)
+                if blocks > 1:
+                    own_block = k % np.uint64(blocks) == block
+                    i, k = i[own_block], k[own_block]
+                on = bitfilter.passes(f, size, _banded(k, band[i], place[i]))
+                keys.append(k[on])
+                at.append(i[on])
             if not keys:
                 continue
             k, i = np.concatenate(keys), np.concatenate(at)
@@ -339,31 +355,84 @@ def _matching(train: DataFrame, bits, lengths: list[int]) -> DataFrame:
     return train.select("class", "ids", "n", "sig").mapInArrow(run, "key bigint, class bigint, where bigint, sig bigint")
 
 
+#: Filter keys of a segment, about: the bands of lengths and places that its edits reach.
+KEYS_PER_SEGMENT = 3
+
+
 def near_classes(train: DataFrame, evals: DataFrame) -> DataFrame:
     """(t, e): classes whose texts are near but not the same. Both sides as from `tokenized`."""
     sc = train.sparkSession.sparkContext
     stats = sc.broadcast(_statistics(train))
     segs = stored(_segmented(evals, stats))
     lengths = sorted(r[0] for r in segs.select("length").distinct().collect())  # at most LONGEST
-    bits = sc.broadcast(_filter(segs))
-    t = _matching(train, bits, lengths).select("key", F.col("class").alias("t"), "where", F.col("sig").alias("ts"))
-    e = segs.select("key", F.col("class").alias("e"), "place", "k", "n", "sig")
-    close = (
-        (F.abs(F.shiftright("where", 32).cast("int") - F.col("place")) <= F.col("k"))
-        & (F.abs(F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - F.col("n")) <= F.col("k"))
-        & (F.bit_count(F.col("ts").bitwiseXOR(F.col("sig"))) <= 2 * F.col("k"))
-    )
-    pairs = few_or_not(stored(e.join(t, "key").where(close).select("t", "e").distinct()))
-    both = pairs.join(evals.select(F.col("class").alias("e"), F.col("ids").alias("ei")), "e")
-    both = few_or_not(stored(both)).join(train.select(F.col("class").alias("t"), F.col("ids").alias("ti")), "t")
+    keys = KEYS_PER_SEGMENT * segs.count()
+    blocks = bitfilter.blocks_for(keys)
+    found = None
+    for block in range(blocks):
+        own = segs if blocks == 1 else segs.where(_unsigned_mod(F.col("key"), blocks) == block)
+        bits = sc.broadcast(bitfilter.made(own.select("key", "n", "k", "place"), _filter_keys, -(-keys // blocks)))
+        t = _matching(train, bits, lengths, block, blocks).select("key", F.col("class").alias("t"), "where", F.col("sig").alias("ts"))
+        e = own.select("key", F.col("class").alias("e"), "place", "k", "n", "sig")
+        close = (
+            (F.abs(F.shiftright("where", 32).cast("int") - F.col("place")) <= F.col("k"))
+            & (F.abs(F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - F.col("n")) <= F.col("k"))
+            & (F.bit_count(F.col("ts").bitwiseXOR(F.col("sig"))) <= 2 * F.col("k"))
+        )
+        got = e.join(t, "key").where(close).select("t", "e")
+        if blocks > 1:
+            got = stored(got.distinct())
+            bits.unpersist()
+        found = got if found is None else found.unionByName(got)
+    pairs = stored(found.distinct())
+    both = stored(few_or_not(pairs).join(evals.select(F.col("class").alias("e"), F.col("ids").alias("ei")), "e"))
+    dropped(segs, pairs)
+    texts = few_or_not(both).join(train.select(F.col("class").alias("t"), F.col("ids").alias("ti")), "t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [distance_within(x, y, edits_allowed(len(x))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            b = b.filter(pa.array(ok, pa.bool_()))
+            x, y = _flat(b.column(2)), _flat(b.column(3))
+            b = b.filter(pa.array(distances_within(x, y, edits_allowed(x[2])), pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["t", "e"])
 
-    return both.select("t", "e", "ei", "ti").mapInArrow(verify, "t bigint, e bigint")
+    out = stored(texts.select("t", "e", "ei", "ti").mapInArrow(verify, "t bigint, e bigint"))
+    dropped(both)
+    return out
+
+
+def _unsigned_mod(key: Column, n: int) -> Column:
+    """A long, read as unsigned, modulo n."""
+    return (F.pmod(F.shiftrightunsigned(key, 1), F.lit(n)) * 2 + key.bitwiseAND(F.lit(1))) % n
+
+
+@dataclass
+class Matches:
+    """What both sides share, by classes: rows of one class have texts that are the same up to formatting.
+
+    `train` and `evals`: (id, class) of the rows with a text. `near`: (tc, ec), pairs of different classes.
+    `train_files` and `eval_files`: (id, file, has_text) of the rows that name a file.
+    """
+
+    train: DataFrame
+    evals: DataFrame
+    near: DataFrame
+    train_files: DataFrame
+    eval_files: DataFrame
+
+
+def matches(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str = "text", path: str = "image_path") -> Matches:
+    """Overlaps as pairs between classes and files, plus the rows of each: copies aren't expanded into pairs."""
+    rows_a, rows_b = (x.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")) for x in (train, evals))
+    a, b = stored(prepared(rows_a)), stored(prepared(rows_b))  # canonical forms are used several times below
+    ta, tb = stored(tokenized(a)), stored(tokenized(b))
+    ca, cb = (x.select("id", "class") for x in (a, b))
+    found = near_classes(ta, tb)
+    dropped(ta, tb)
+    # classes are known by their smallest row there: its digest leads from a pair of classes to all their rows
+    near = few_or_not(found).join(ca.select(F.col("id").alias("t"), F.col("class").alias("tc")), "t").join(cb.select(F.col("id").alias("e"), F.col("class").alias("ec")), "e").where("tc <> ec")
+    near = stored(near.select("tc", "ec"))
+    dropped(found)
+    files = (x.select("id", clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("has_text")).where("file is not null") for x in (rows_a, rows_b))
+    return Matches(ca, cb, near, *files)
 
 
 def overlaps(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str = "text", path: str = "image_path") -> DataFrame:
@@ -374,29 +443,39 @@ def overlaps(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str
     digits are none; a null or blank path names no file. Repeated rows make their own pairs. Empty tables give
     no pairs. Whole texts are compared, whatever their length.
     """
-    rows_a, rows_b = (x.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")) for x in (train, evals))
-    # canonical forms are used several times below, so they are kept
-    a, b = stored(prepared(rows_a)), stored(prepared(rows_b))
-    ca, cb = (x.select("id", "class") for x in (a, b))
-    same = ca.withColumnRenamed("id", "train_row").join(cb.withColumnRenamed("id", "eval_row"), "class").select("train_row", "eval_row", F.lit("same").alias("kind"))
-    near = few_or_not(stored(near_classes(stored(tokenized(a)), stored(tokenized(b)))))
-    # classes are known by their smallest row: its digest leads from a pair of classes to all their rows
-    near = near.join(ca.select(F.col("id").alias("t"), F.col("class").alias("tc")), "t").join(cb.select(F.col("id").alias("e"), F.col("class").alias("ec")), "e").where("tc <> ec")
-    near = few_or_not(stored(near.select("tc", "ec"))).join(cb.select(F.col("id").alias("eval_row"), F.col("class").alias("ec")), "ec").select("tc", "eval_row")
-    near = few_or_not(stored(near)).join(ca.select(F.col("id").alias("train_row"), F.col("class").alias("tc")), "tc")
-    near = near.select("train_row", "eval_row", F.lit("near").alias("kind"))
-    fa = rows_a.select(F.col("id").alias("train_row"), clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("tt")).where("file is not null")
-    fb = rows_b.select(F.col("id").alias("eval_row"), clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("et")).where("file is not null")
-    mute_a, mute_b = (few_or_not(stored(x)) for x in (fa.where("not tt").select("train_row", "file"), fb.where("not et").select("eval_row", "file")))
+    m = matches(train, evals, key, text, path)
+    ca, cb = m.train.select(F.col("id").alias("train_row"), "class"), m.evals.select(F.col("id").alias("eval_row"), "class")
+    same = ca.join(cb, "class").select("train_row", "eval_row", F.lit("same").alias("kind"))
+    near = stored(few_or_not(m.near).join(cb.withColumnRenamed("class", "ec"), "ec").select("tc", "eval_row"))
+    near = few_or_not(near).join(ca.withColumnRenamed("class", "tc"), "tc").select("train_row", "eval_row", F.lit("near").alias("kind"))
+    fa, fb = m.train_files.withColumnRenamed("id", "train_row"), m.eval_files.withColumnRenamed("id", "eval_row")
+    mute_a, mute_b = (few_or_not(stored(x.where("not has_text").drop("has_text"))) for x in (fa, fb))
     picture = fb.select("eval_row", "file").join(mute_a, "file").select("train_row", "eval_row")
-    picture = picture.unionByName(fa.join(mute_b, "file").where("tt").select("train_row", "eval_row")).withColumn("kind", F.lit("picture"))
+    picture = picture.unionByName(fa.join(mute_b, "file").where("has_text").select("train_row", "eval_row")).withColumn("kind", F.lit("picture"))
     return same.unionByName(near).unionByName(picture)
 
 
-def report(pairs: DataFrame, evals: DataFrame, key: str = "row_id") -> DataFrame:
+def counted(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str = "text", path: str = "image_path") -> DataFrame:
+    """(eval_row, kind, pairs): for each evaluation row with overlaps the number of its training rows, by kind.
+
+    Counts go through classes and files: no pair of rows is made, so a picture or text with many copies costs a row.
+    """
+    m = matches(train, evals, key, text, path)
+    of_class = m.train.groupBy("class").agg(F.count("*").alias("n"))
+    of_file = m.train_files.groupBy("file").agg(F.count_if(~F.col("has_text")).alias("mute"), F.count("*").alias("n"))
+    cb = m.evals.select(F.col("id").alias("eval_row"), "class")
+    same = cb.join(of_class, "class").select("eval_row", F.lit("same").alias("kind"), "n")
+    per = few_or_not(m.near).join(of_class.withColumnRenamed("class", "tc"), "tc").groupBy(F.col("ec").alias("class")).agg(F.sum("n").alias("n"))
+    near = cb.join(per, "class").select("eval_row", F.lit("near").alias("kind"), "n")
+    n = F.when(F.col("has_text"), F.col("mute")).otherwise(F.col("n"))
+    picture = m.eval_files.join(of_file, "file").select(F.col("id").alias("eval_row"), F.lit("picture").alias("kind"), n.alias("n")).where("n > 0")
+    return same.unionByName(near).unionByName(picture).groupBy("eval_row", "kind").agg(F.sum("n").alias("pairs"))
+
+
+def report(train: DataFrame, evals: DataFrame, key: str = "row_id") -> DataFrame:
     """Per split and dataset of the evaluation rows: their number, the overlapping ones by kind, the pairs and the rate."""
     rows = evals.select(F.col(key).alias("eval_row"), "split", dataset_name(F.col("dataset")).alias("dataset"))
-    per = pairs.groupBy("eval_row").agg(F.count("*").alias("pairs"), *[F.max(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in ("same", "near", "picture")])
+    per = counted(train, evals, key).groupBy("eval_row").agg(F.sum("pairs").alias("pairs"), *[F.max(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in ("same", "near", "picture")])
     j = rows.join(per, "eval_row", "left").fillna(0, ["pairs", "same", "near", "picture"])
     return j.groupBy("split", "dataset").agg(
         F.count("*").alias("n"),

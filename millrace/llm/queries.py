@@ -52,8 +52,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    evals = _evals(spark, d)
-    return overlap.report(overlap.overlaps(table(spark, d, "unified_train"), evals), evals)
+    return overlap.report(table(spark, d, "unified_train"), _evals(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import NULL_LIKE
-from millrace.llm import endings
+from millrace.llm import bitfilter, endings
 from millrace.llm.canon import dataset_name
 from millrace.session import dropped, few_or_not, spread, stored, table
 
@@ -38,8 +39,6 @@ CUT = -4.5
 #: A length is a field limit where unclosed values are LIMIT_TIMES those of the lengths around, beyond chance: the
 #: likelihood ratio of that against no more than around is LIMIT_RATIO (log) at least.
 LIMIT_TIMES, LIMIT_AROUND, LIMIT_RATIO = 4.0, 8, 6.0
-#: Bits of the filter for each sketch key, and bits at most (256 MB); keys beyond pass oftener, which costs time and no result.
-KEY_BITS, MOST_BITS = 16, 1 << 31
 
 
 def is_value(text: str | None) -> bool:
@@ -182,49 +181,6 @@ def sketched_beginnings(w: Words, passes) -> tuple[np.ndarray, np.ndarray, np.nd
     return text[i], place[i], keys[i, b], begins[i]
 
 
-def bits_for(keys: int) -> int:
-    """The size of the filter for so many keys: a power of two."""
-    return min(MOST_BITS, 1 << max(16, (KEY_BITS * keys - 1).bit_length()))
-
-
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return keys & np.uint64(bits - 1), (keys >> np.uint64(27)) & np.uint64(bits - 1)
-
-
-def key_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit filter over the `key` column of a stored table, sized by its rows; it is made from the slots of the keys, block by block."""
-    bits = bits_for(keys.count())
-    words = max(1, bits // 64)
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(np.concatenate(_slots(b.column(0).to_numpy().view(np.uint64), bits)))
-            word, start = np.unique(at >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
-
-    out = np.zeros(words, np.uint64)
-    merged = keys.select("key").mapInArrow(slots, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value"))
-    for part in merged.toLocalIterator() if words > 1 << 22 else [merged.toArrow()]:
-        rows = part if isinstance(part, pa.Table) else None
-        if rows is not None:
-            out[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
-        else:
-            out[part["word"]] = np.int64(part["value"]).view(np.uint64)
-    return out, bits
-
-
-def _passes(bits: np.ndarray, size: int):
-    def passes(keys: np.ndarray) -> np.ndarray:
-        first, second = _slots(keys, size)
-        on = ((bits[(first >> np.uint64(6)).astype(np.int64)] >> (first & np.uint64(63))) & np.uint64(1)).astype(bool)
-        again = second[on]
-        on[on] = ((bits[(again >> np.uint64(6)).astype(np.int64)] >> (again & np.uint64(63))) & np.uint64(1)).astype(bool)
-        return on
-
-    return passes
-
-
 def stops(short: list[str], long: list[str], marks: str, place: int) -> str | None:
     """How a text stops where a longer one goes on: `inside` a word, `before` another word, at the end of a sentence (`whole`), `open` if that can't be told.
 
@@ -280,10 +236,11 @@ def matched(shorts: DataFrame, values: DataFrame) -> DataFrame:
 
     # keys of bands with their text, and of ends without: only the filter needs these
     a = stored(shorts.select("tid", "value").mapInArrow(whole, f"key bigint, tid {kind}"))
-    bits = values.sparkSession.sparkContext.broadcast(key_filter(a))
+    # one filter of bounded size: keys beyond that pass oftener, which costs a shuffle and no result
+    bits = values.sparkSession.sparkContext.broadcast(bitfilter.of_column(a))
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passes(*bits.value)
+        passes = partial(bitfilter.passes, *bits.value)
         for b in batches:
             own, place, keys, begins = sketched_beginnings(Words(b.column(1).to_pylist()), passes)
             cols = [pa.array(keys.view(np.int64)), pa.array(begins.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(place.astype(np.int32))]

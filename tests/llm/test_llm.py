@@ -566,6 +566,64 @@ def test_banded_distance():
             assert overlap.distance_within(a, b, k) == (word_distance(a, b) <= k)
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(18)
+    rows = [([rng.randrange(4) for _ in range(rng.randint(0, 14))], [rng.randrange(4) for _ in range(rng.randint(0, 14))], rng.randint(0, 4)) for _ in range(3000)]
+    rows += [(a, a, 0) for a, _, _ in rows[:50]] + [([], [], 0), ([1], [], 1), ([], [1], 1), ([], [1], 0)]
+
+    def flat(lists):
+        n = np.array([len(x) for x in lists], np.int64)
+        return np.array([i for x in lists for i in x], np.uint64), np.cumsum(n) - n, n
+
+    got = overlap.distances_within(flat([r[0] for r in rows]), flat([r[1] for r in rows]), np.array([r[2] for r in rows]), block=100)
+    assert list(got) == [word_distance(a, b) <= k for a, b, k in rows]
+    assert len(overlap.distances_within(flat([]), flat([]), np.zeros(0, np.int64))) == 0
+
+
+def test_filter(spark, monkeypatch):
+    from millrace.llm import bitfilter
+
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 20_000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key bigint")
+    bits, size = bitfilter.of_column(df)
+    assert bitfilter.passes(bits, size, keys.view(np.uint64)).all()
+    other = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 20_000).view(np.uint64)
+    assert bitfilter.passes(bits, size, other).mean() < 0.03
+    assert bitfilter.blocks_for(0) == bitfilter.blocks_for(1000) == 1 and bitfilter.blocks_for(10**9) == 30
+    assert bitfilter.size_for(10**12) == bitfilter.MOST_BITS
+    got = df.select(overlap._unsigned_mod(F.col("key"), 7)).toPandas().iloc[:, 0]
+    assert sorted(got) == sorted(int(k) % 7 for k in keys.view(np.uint64))
+
+
+def pair_texts(rng, n):
+    vocabulary = [f"w{i}" for i in range(40)] + ["the", "and", "of"] * 8
+    train = [[rng.choice(vocabulary) for _ in range(rng.randint(4, 30))] for _ in range(n)]
+    evals = [list(rng.choice(train)) for _ in range(n)]
+    for t in evals:
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randint(0, 1)] = rng.choice([[], [rng.choice(vocabulary)]])
+    return [" ".join(t) for t in train], [" ".join(t) for t in evals]
+
+
+def test_blocks_and_counts_give_the_same(spark, monkeypatch):
+    from millrace.llm import bitfilter
+
+    train, evals = pair_texts(random.Random(19), 60)
+    kind = "row_id bigint, text string, image_path string, split string, dataset string"
+    a = spark.createDataFrame([(i, t if i % 9 else None, f"p/{i % 12}", "train", "d") for i, t in enumerate(train)], kind)
+    b = spark.createDataFrame([(1000 + i, t if i % 7 else "", f"p/./{i % 12}", "val", "D ") for i, t in enumerate(evals)], kind)
+    pairs = overlap.overlaps(a, b).collect()
+    count = {}
+    for r in pairs:
+        count[r.eval_row, r.kind] = count.get((r.eval_row, r.kind), 0) + 1
+    assert {(r.eval_row, r.kind): r.pairs for r in overlap.counted(a, b).collect()} == count
+    total = overlap.report(a, b).first()
+    assert (total.n, total.pairs, total.overlapping) == (60, len(pairs), len({r.eval_row for r in pairs}))
+    monkeypatch.setattr(bitfilter, "blocks_for", lambda keys: 3)
+    assert {(r.train_row, r.eval_row) for r in overlap.overlaps(a, b).collect()} == {(r.train_row, r.eval_row) for r in pairs}
+
+
 def test_segments_are_enough():
     rng = np.random.default_rng(1)
     n = rng.integers(0, 60, 300)
