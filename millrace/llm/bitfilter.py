@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits for each key, and bits at most (64 MB): what more keys need is dealt over several filters (see `blocks_for`).
-KEY_BITS, MOST_BITS = 16, 1 << 29
+KEY_BITS, MOST_BITS = 32, 1 << 29
 #: 64-bit words of a page, the unit in which filters are put together.
 PAGE = 4096
 
@@ -25,8 +25,10 @@ def size_for(keys: int) -> int:
     return min(MOST_BITS, max(64 * PAGE, 1 << (KEY_BITS * max(1, keys) - 1).bit_length()))
 
 
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return keys & np.uint64(bits - 1), (keys >> np.uint64(34)) & np.uint64(bits - 1)
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    mask = np.uint64(bits - 1)
+    with np.errstate(over="ignore"):
+        return keys & mask, (keys >> np.uint64(34)) & mask, ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(35)) & mask
 
 
 def made(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> tuple[np.ndarray, int]:
@@ -64,11 +66,14 @@ def made(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], keys:
 
 def passes(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be one of the filter's; all that are pass."""
-    first, second = _slots(keys, size)
-    on = ((bits[(first >> np.uint64(6)).astype(np.int64)] >> (first & np.uint64(63))) & np.uint64(1)).astype(bool)
-    again = second[on]
-    on[on] = ((bits[(again >> np.uint64(6)).astype(np.int64)] >> (again & np.uint64(63))) & np.uint64(1)).astype(bool)
-    return on
+    shape, keys = keys.shape, keys.ravel()
+    left = np.arange(len(keys))
+    for slots in _slots(keys, size):
+        at = slots[left]
+        left = left[((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    on = np.zeros(keys.size, bool)
+    on[left] = True
+    return on.reshape(shape)
 
 
 def of_column(rows: DataFrame, column: str = "key") -> tuple[np.ndarray, int]:

@@ -356,7 +356,7 @@ def _matching(train: DataFrame, bits, lengths: list[int], block: int, blocks: in
 
 
 #: Filter keys of a segment, about: the bands of lengths and places that its edits reach.
-KEYS_PER_SEGMENT = 3
+KEYS_PER_SEGMENT = 4
 
 
 def near_classes(train: DataFrame, evals: DataFrame) -> DataFrame:
