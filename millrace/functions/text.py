@@ -17,6 +17,8 @@ B = f"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 TLDS = "com org net co io ai edu gov uk us ru de fr it me ly info biz".split()
 LABELS = ["rewrite", "rewritten text", "rewritten_text", "output", "answer", "response"]
 NULL_LIKE = ["", "null", "none", "n/a", "na", "unknown", "unspecified"]
+#: What counts as missing where fields are forced to a default: "unspecified" is kept there.
+FORCED = ["", "null", "none", "n/a", "na", "unknown"]
 GROUP_KEYWORDS = [
     ("race_ethnicity", ["race", "ethnic", "asian", "black", "white"]),
     ("nationality", ["nation", "country", "immigrant"]),
@@ -174,9 +176,9 @@ def collapsed(x: Column | str) -> Column:
     )
 
 
-def null_like(x: Column | str) -> Column:
+def null_like(x: Column | str, listed: list[str] = NULL_LIKE) -> Column:
     """Null or a stand-in for it."""
-    return F.coalesce(F.lower(strip_ws(x)).isin(NULL_LIKE), F.lit(True))
+    return F.coalesce(F.lower(strip_ws(x)).isin(listed), F.lit(True))
 
 
 def truthy(*xs: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.dedupe import first_by, last_by
+from millrace.session import stored
 
 
 def keep(df: DataFrame, allowed: DataFrame | None, on: str) -> DataFrame:
@@ -31,5 +32,17 @@ def two_level(df: DataFrame, source: DataFrame, scope: str, key: str, order: lis
 
 
 def numbered(df: DataFrame, partition: list[str], *order: str, name: str = "place") -> DataFrame:
-    """Rows numbered from 0 within `partition`."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+    """Rows numbered from 0 within `partition` (null is one of its values), in the order of the columns named.
+
+    Rows are dealt to ranges of (partition, order), numbered inside them, and the counts of the ranges before are added,
+    so a partition that holds most rows is numbered by many tasks.
+    """
+    ranged = stored(df.repartitionByRange(*partition, *order).withColumn("_r", F.spark_partition_id()))
+    w = Window.partitionBy(*partition).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*partition, "_r").agg(F.count("*").alias("_c"))  # as many rows as there are ranges, and partitions that share one
+    before = counts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(partition)], F.col("_r").alias("_q"), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    on = ranged["_r"] == before["_q"]
+    for i, c in enumerate(partition):
+        on = on & ranged[c].eqNullSafe(before[f"_s{i}"])
+    place = F.row_number().over(Window.partitionBy(*partition, "_r").orderBy(*order)) - 1
+    return ranged.withColumn("_p", place).join(before, on).withColumn(name, (F.col("_p") + F.col("_before")).cast("long")).select(*df.columns, name)

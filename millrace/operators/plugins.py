@@ -6,7 +6,7 @@ and their scores mean nothing.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -46,16 +46,24 @@ class DropWords:
         return [[" ".join(w for j, w in enumerate((t or "").split(), 1) if j % (i + 2)) for i in range(n)] for t in rows[self.text]]
 
 
-@functools.lru_cache(maxsize=8)
-def _made(make: Callable):
-    return make()
+_MODELS: dict[str, object] = {}
+
+
+def _made(token: str, make: Callable):
+    """The model of a call of `scored` or `candidates`, made once per Python worker: tasks get other copies of `make`, but the same token."""
+    if token not in _MODELS:
+        if len(_MODELS) >= 8:
+            _MODELS.clear()
+        _MODELS[token] = make()
+    return _MODELS[token]
 
 
 def scored(df: DataFrame, make: Callable[[], Scorer], name: str = "score") -> DataFrame:
     """Adds a score. A batch that fails is scored row by row, a row that fails gets null."""
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _made(make)
+        model = _made(token, make)
         for b in batches:
             try:
                 s = model.score(b)
@@ -73,9 +81,10 @@ def scored(df: DataFrame, make: Callable[[], Scorer], name: str = "score") -> Da
 
 def candidates(df: DataFrame, make: Callable[[], Generator], key: str, n: int) -> DataFrame:
     """(key, cand, rewrite): n candidates of each row."""
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _made(make)
+        model = _made(token, make)
         for b in batches:
             got = model.generate(b, n)
             rows = [(k, i, t) for k, ts in zip(b[key], got, strict=True) for i, t in enumerate(ts)]

@@ -104,8 +104,8 @@ def format_parts(rewrite: Column, original: Column) -> Column:
     return F.struct(t.alias("text"), T.tokens(F.lower(t)).alias("words"), T.compare_form(rewrite).alias("new"), T.compare_form(original).alias("old"))
 
 
-def format_rules(parts: Column, lexical: float = 0.0, char: float = 1.0) -> list[Rule]:
-    """Rules of a usable rewrite, in order, over `format_parts`. The character guard (char < 1) runs in Python, the others don't."""
+def format_rules(parts: Column, lexical: float = 0.0) -> list[Rule]:
+    """Rules of a usable rewrite, in order, over `format_parts`."""
     t, words, new, old = (parts.getField(f) for f in ("text", "words", "new", "old"))
     n = F.size(words)
     rules = [
@@ -122,15 +122,20 @@ def format_rules(parts: Column, lexical: float = 0.0, char: float = 1.0) -> list
     ]
     if lexical > 0:
         rules.append(Rule("too_similar", T.token_change(old, new) < lexical))
-    if char < 1:
-        rules.append(Rule("too_similar", (F.least(F.length(new), F.length(old)) >= 24) & (char_similarity(old, new) > char)))
     return rules
 
 
 def with_format_reason(df: DataFrame, rewrite: Column, original: Column, name: str = "format_reason", lexical: float = 0.0, char: float = 1.0) -> DataFrame:
     """Adds the reason of the first format rule that fails (null: usable); texts are prepared once per row."""
     d = once(df, "_parts", format_parts(rewrite, original))
-    return d.withColumn(name, reason(format_rules(F.col("_parts"), lexical, char))).drop("_parts")
+    d = d.withColumn(name, reason(format_rules(F.col("_parts"), lexical)))
+    if char < 1:
+        # runs in Python, so only texts that pass the other rules are handed over
+        new, old = F.col("_parts.new"), F.col("_parts.old")
+        asked = F.col(name).isNull() & (F.least(F.length(new), F.length(old)) >= 24)
+        d = d.withColumn("_like", char_similarity(F.when(asked, old), F.when(asked, new)))
+        d = d.withColumn(name, F.when(asked & (F.col("_like") > char), F.lit("too_similar")).otherwise(F.col(name))).drop("_like")
+    return d.drop("_parts")
 
 
 def score_bucket(kept_: Column, score: Column, threshold: float) -> Column:

@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import seeded
 
 
+#: Rows that one task ranks, about.
+RANKED = 1_000_000
+
+
+def range_digits(n: int, ranked: int = RANKED) -> int:
+    """Hex digits of the order that make a range, so that n rows are ranked in parts of about `ranked`; two at least."""
+    digits = 2
+    while n > ranked * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
     """Adds `n_` (rows of the stratum) and `rank_` (from 1, in seeded hash order).
 
     Rows are ranked inside ranges of the hash, and the counts of the ranges before are added, so a stratum that
     holds most of the rows is still ranked by many tasks. Null strata are strata of their own.
     """
-    h = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_r", F.substring("_h", 1, 2))
+    h = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_r", F.substring("_h", 1, range_digits(df.count())))
     w = Window.partitionBy(*strata).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = h.groupBy(*strata, "_r").agg(F.count("*").alias("_c"))  # at most 256 rows a stratum
+    counts = h.groupBy(*strata, "_r").agg(F.count("*").alias("_c"))  # a row per range and stratum
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("n_", F.sum("_c").over(Window.partitionBy(*strata))).drop("_c")
     counts = counts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_r").alias("_q"), "_before", "n_")
     on = F.col("_r") == F.col("_q")

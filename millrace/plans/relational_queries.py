@@ -68,10 +68,9 @@ def _(spark, d):
     return a.withColumnRenamed("row_id", "left_row").join(b.withColumnRenamed("row_id", "right_row"), ["dataset", "place"]).select("left_row", "right_row")
 
 
-@query("slot_regroup", f"SELECT id, count(*) AS n, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS slots FROM {P} GROUP BY 1")
+@query("slot_regroup", f"SELECT id, row_id, row_number() OVER (PARTITION BY id ORDER BY row_id) - 1 AS slot FROM {P}")
 def _(spark, d):
-    ids = F.array_sort(F.collect_list("row_id"))
-    return table(spark, d, P).groupBy("id").agg(F.count("*").alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("slots"))
+    return joins.numbered(table(spark, d, P).select("id", "row_id"), ["id"], "row_id", name="slot")
 
 
 _STEM = r"regexp_replace(regexp_extract(image_path, '([^/\\]*)$', 1), '[.][^.]*$', '')"
@@ -163,12 +162,21 @@ def _(spark, d):
     return dedupe.last_by(table(spark, d, U).select("image_path", "row_id"), "image_path", ["row_id"], ["row_id"])
 
 
-@query("path_normalise")
+def _shortest(p: str) -> str:
+    """The shortest form of a path, for up to four nested parents."""
+    out = f"regexp_replace(regexp_replace(replace(coalesce({p}, ''), chr(92), '/'), '/+', '/', 'g'), '(^|/)([.]/)+', '\\1', 'g')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '(^|/)([^/.][^/]*|[.][^/.][^/]*)/[.][.](/|$)', '\\1')"
+    return f"coalesce(nullif(regexp_replace({out}, '(.)/[.]?$', '\\1'), ''), '.')"
+
+
+@query("path_normalise", f"SELECT row_id, {_shortest('image_path')} AS path FROM {U}")
 def _(spark, d):
     return table(spark, d, U).select("row_id", K.normal_path(F.col("image_path")).alias("path"))
 
 
-@query("record_key")
+@query("record_key", f"""SELECT row_id, CASE WHEN trim(coalesce(id, '')) <> '' THEN 'id::' || trim(id) ELSE 'imgtxt::' || {_shortest('image_path')} || '::' || {D.squeeze("coalesce(original_text, '')")} END AS key,
+    CASE WHEN trim(coalesce(id, '')) <> '' THEN trim(id) ELSE {_shortest('image_path')} END AS short FROM {P}""")
 def _(spark, d):
     return table(spark, d, P).select("row_id", K.rewrite_key(F.col("id"), F.col("image_path"), F.col("original_text")).alias("key"), K.explanation_key(F.col("id"), F.col("image_path")).alias("short"))
 
@@ -240,8 +248,7 @@ def _(spark, d):
 @query("val_fallback", f"SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS r, count(*) OVER () AS n FROM {TR}) WHERE r <= greatest(1, n // 10)")
 def _(spark, d):
     df = table(spark, d, TR).select("row_id")
-    n = df.count()
-    return df.orderBy("row_id").limit(max(1, n // 10)) if n else df
+    return joins.numbered(df, [], "row_id").where(F.col("place") < max(1, df.count() // 10)).select("row_id")
 
 
 @query("sample_per_class", f"SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY dataset, format_valid ORDER BY md5(row_id || ':0'), row_id) AS r FROM {P}) WHERE r <= 50")
@@ -266,8 +273,7 @@ def _(spark, d):
 
 @query("sort_by_key", f"SELECT row_id, row_number() OVER (PARTITION BY shard ORDER BY id, row_id) AS place FROM {E}")
 def _(spark, d):
-    w = Window.partitionBy("shard").orderBy("id", "row_id")
-    return table(spark, d, E).select("row_id", F.row_number().over(w).cast("long").alias("place"))
+    return joins.numbered(table(spark, d, E).select("row_id", "shard", "id"), ["shard"], "id", "row_id").select("row_id", (F.col("place") + 1).alias("place"))
 
 
 # --- ranking

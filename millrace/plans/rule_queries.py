@@ -11,6 +11,7 @@ from millrace.operators import rules as R
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
 from millrace.session import table
+from millrace.sources.annotations import HARMLESS, first_label
 
 P, E, U, TR = "train_pseudo_rewrites_merged", "train_explanations_merged", "unified_train", "train"
 
@@ -151,6 +152,15 @@ def _(spark, d):
     return table(spark, d, E).select("row_id", *[T.truthy(f"explanation.{f}", F.lit("null")).alias(f) for f in _F3], F.coalesce("explanation.parse_error", F.lit(False)).alias("parse_error"))
 
 
+_TOP = "CASE WHEN row_id % 3 = 0 THEN dataset WHEN row_id % 3 = 1 THEN '' END"
+
+
+@query("explanation_precedence", f"SELECT row_id, coalesce(nullif({_TOP}, ''), nullif(explanation.target_group, ''), 'null') AS target_group, coalesce(nullif({_TOP}, ''), nullif(explanation.implicit_meaning, ''), '') AS implicit_meaning FROM {E}")
+def _(spark, d):
+    top = F.expr(_TOP)  # a field of the record itself goes before the one inside its explanation
+    return table(spark, d, E).select("row_id", T.truthy(top, "explanation.target_group", F.lit("null")).alias("target_group"), F.coalesce(T.truthy(top, "explanation.implicit_meaning"), F.lit("")).alias("implicit_meaning"))
+
+
 @query("truthy_coalesce", f"SELECT row_id, coalesce(nullif(target_text, ''), nullif(original_text, ''), 'null') AS out FROM {TR}")
 def _(spark, d):
     return table(spark, d, TR).select("row_id", T.truthy("target_text", "original_text", F.lit("null")).alias("out"))
@@ -158,16 +168,20 @@ def _(spark, d):
 
 def _forced(f):
     c = F.col(f"explanation.{f}")
-    return F.when(F.col("is_hateful") & T.null_like(c), F.lit(DEFAULTS[f])).otherwise(c)
+    return F.when(F.col("is_hateful") & T.null_like(c, T.FORCED), F.lit(DEFAULTS[f])).otherwise(c)
+
+
+def _missing_sql(f):
+    return f"coalesce(lower({D.strip('explanation.' + f)}) IN ('', 'null', 'none', 'n/a', 'na', 'unknown'), true)"
 
 
 def _forced_sql(f):
-    return f"CASE WHEN is_hateful AND {D.null_like('explanation.' + f)} THEN '{DEFAULTS[f]}' ELSE explanation.{f} END"
+    return f"CASE WHEN is_hateful AND {_missing_sql(f)} THEN '{DEFAULTS[f]}' ELSE explanation.{f} END"
 
 
-@query("null_like_force", f"SELECT row_id, {', '.join(f'{_forced_sql(f)} AS {f}' for f in _F3)}, is_hateful AND ({' OR '.join(D.null_like('explanation.' + f) for f in _F3)}) AS changed FROM {E}")
+@query("null_like_force", f"SELECT row_id, {', '.join(f'{_forced_sql(f)} AS {f}' for f in _F3)}, is_hateful AND ({' OR '.join(map(_missing_sql, _F3))}) AS changed FROM {E}")
 def _(spark, d):
-    changed = F.col("is_hateful") & (T.null_like(F.col("explanation.target_group")) | T.null_like(F.col("explanation.visual_evidence")) | T.null_like(F.col("explanation.implicit_meaning")))
+    changed = F.col("is_hateful") & (T.null_like("explanation.target_group", T.FORCED) | T.null_like("explanation.visual_evidence", T.FORCED) | T.null_like("explanation.implicit_meaning", T.FORCED))
     return table(spark, d, E).select("row_id", *[_forced(f).alias(f) for f in _F3], changed.alias("changed"))
 
 
@@ -264,11 +278,11 @@ def _(spark, d):
     return M.dominant(table(spark, d, P), "dataset", "reject_reason", "low_sta")
 
 
-@query("label_normalise", f"SELECT row_id, lower(coalesce(original_label, '')) <> 'nothate' AND lower(coalesce(original_label, '')) <> 'misogynous=0' AS hateful FROM {U}")
+@query("label_normalise", f"SELECT row_id, lower(coalesce(original_label, 'not harmful')) <> 'not harmful' AS hateful FROM {U}")
 def _(spark, d):
-    labels = F.array("original_label")
-    first = F.lower(F.coalesce(F.element_at(labels, 1), F.lit("")))
-    return table(spark, d, U).select("row_id", ((first != "nothate") & (first != "misogynous=0")).alias("hateful"))
+    label = F.col("original_label")
+    field = F.when(F.col("row_id") % 2 == 0, F.to_json(F.array(label, F.lit("other")), {"ignoreNullFields": "false"})).otherwise(label)  # a list in half of the rows
+    return table(spark, d, U).select("row_id", (F.lower(first_label(field)) != HARMLESS).alias("hateful"))
 
 
 @query("guarded_int", f"SELECT row_id, coalesce(TRY_CAST(regexp_extract(original_label, '=(.*)$', 1) AS INTEGER) = 1, false) AS positive FROM {U}")
@@ -301,6 +315,16 @@ def _vecs(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.slice(e, 1, 5).alias("a"), F.slice(e, 6, 5).alias("b"))
 
 
+_FULL = "SELECT vec_id, label, list_transform(embedding[1:len(embedding) // 2], lambda x: x::DOUBLE) AS a, list_transform(embedding[len(embedding) // 2 + 1:], lambda x: x::DOUBLE) AS b FROM embeddings"
+
+
+def _halves(spark, d):
+    """Both halves of the whole vectors."""
+    e = V.doubles(F.col("embedding"))
+    n = F.floor(F.size(e) / 2).cast("int")
+    return table(spark, d, "embeddings").select("vec_id", "label", F.slice(e, F.lit(1), n).alias("a"), F.slice(e, n + 1, n).alias("b"))
+
+
 _SM = "list_transform(a, lambda x: exp(x - list_max(a)) / list_sum(list_transform(a, lambda y: exp(y - list_max(a)))))"
 
 
@@ -339,28 +363,29 @@ def _(spark, d):
     return maps.select("name", F.array_min(F.map_keys(hit)).alias("place"))
 
 
-@query("cosine01", f"SELECT vec_id, round((list_cosine_similarity(a, b) + 1) / 2, 6) AS c FROM ({_EV})")
+@query("cosine01", f"SELECT vec_id, round((list_cosine_similarity(a, b) + 1) / 2, 6) AS c FROM ({_FULL})")
 def _(spark, d):
-    return _vecs(spark, d).select("vec_id", F.round(V.cosine01(F.col("a"), F.col("b")), 6).alias("c"))
+    return _halves(spark, d).select("vec_id", F.round(V.cosine01(F.col("a"), F.col("b")), 6).alias("c"))
 
 
-@query("l2_norm", f"SELECT vec_id, round(a[1] / sqrt(list_sum(list_transform(a, lambda x: x * x))), 6) AS first FROM ({_EV})")
+@query("l2_norm", f"SELECT vec_id, round(a[1] / sqrt(list_sum(list_transform(a, lambda x: x * x))), 6) AS first, round(a[-1] / sqrt(list_sum(list_transform(a, lambda x: x * x))), 6) AS last FROM ({_FULL})")
 def _(spark, d):
-    return _vecs(spark, d).select("vec_id", F.round(F.element_at(V.unit(F.col("a")), 1), 6).alias("first"))
+    u = V.unit(F.col("a"))
+    return _halves(spark, d).select("vec_id", F.round(F.element_at(u, 1), 6).alias("first"), F.round(F.element_at(u, -1), 6).alias("last"))
 
 
-@query("vec_concat_pad", f"SELECT vec_id, 12::BIGINT AS n, round(list_sum(a) + list_sum(b), 6) AS total FROM ({_EV})")
+@query("vec_concat_pad", f"SELECT vec_id, 96::BIGINT AS n, round(list_sum(a) + list_sum(b), 5) AS total FROM ({_FULL})")
 def _(spark, d):
-    v = V.padded(F.concat("a", "b"), 12)
-    return _vecs(spark, d).select("vec_id", F.size(v).cast("long").alias("n"), F.round(V.total(v), 6).alias("total"))
+    v = V.padded(F.concat("a", "b"), 96)
+    return _halves(spark, d).select("vec_id", F.size(v).cast("long").alias("n"), F.round(V.total(v), 5).alias("total"))
 
 
-@query("mean_pool", f"SELECT vec_id, round((a[1] + a[2] + a[3] + a[4] + a[5]) / 5, 6) AS m1, round(list_sum(b) / 5, 6) AS m2 FROM ({_EV})")
+@query("mean_pool", f"SELECT vec_id, len(a)::BIGINT * 2 // 8 AS n, round(list_sum(a[1:8]) / 8, 6) AS m1, round(list_sum(b[len(b) - 7:]) / 8, 6) AS last FROM ({_FULL})")
 def _(spark, d):
-    m = V.mean_pool(F.concat("a", "b"), 5)
-    return _vecs(spark, d).select("vec_id", F.round(F.element_at(m, 1), 6).alias("m1"), F.round(F.element_at(m, 2), 6).alias("m2"))
+    m = V.mean_pool(F.concat("a", "b"), 8)
+    return _halves(spark, d).select("vec_id", F.size(m).cast("long").alias("n"), F.round(F.element_at(m, 1), 6).alias("m1"), F.round(F.element_at(m, -1), 6).alias("last"))
 
 
-@query("mse_loss", f"SELECT label, round(avg(list_sum(list_transform(range(1, 6), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) / 5), 6) AS loss FROM ({_EV}) GROUP BY 1")
+@query("mse_loss", f"SELECT label, round(avg(list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) / len(a)), 6) AS loss FROM ({_FULL}) GROUP BY 1")
 def _(spark, d):
-    return _vecs(spark, d).groupBy("label").agg(F.round(F.avg(V.mse(F.col("a"), F.col("b"))), 6).alias("loss"))
+    return _halves(spark, d).groupBy("label").agg(F.round(F.avg(V.mse(F.col("a"), F.col("b"))), 6).alias("loss"))

@@ -13,6 +13,7 @@ from millrace.operators.joins import pending
 from millrace.plans import dialect as D
 from millrace.plans.registry import query
 from millrace.session import table
+from millrace.sources import annotations as A
 from millrace.sources import readers as S
 from millrace.sources import sinks
 from millrace.streaming import incremental
@@ -98,14 +99,74 @@ def _(spark, d):
     path = sinks.scratch(spark, "map")
     rows = table(spark, d, U)
     record = F.struct(F.array(*[(F.col("row_id") % k).cast("int") for k in (3, 4, 2)]).alias("labels"), F.coalesce("text", F.lit("")).alias("tweet_text"))
-    # a document holds at most 500 rows, so no group grows with the table
+    # a document holds at most 5,000 rows, so no group grows with the table; each is a file
     entry = F.struct(F.concat(F.lit("r"), F.col("row_id").cast("string")), record)
-    docs = rows.groupBy(F.floor(F.col("row_id") / 500)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    docs.select("value").write.text(path)
-    m = S.json_map(spark, path, whole=False)
+    docs = rows.groupBy(F.floor(F.col("row_id") / 5000)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    m = S.json_map(spark, path)
     return m.select("key", F.size("value.labels").cast("long").alias("votes"), (F.size(F.filter("value.labels", lambda x: x != 0)) >= 2).alias("hateful"), F.col("value.tweet_text").alias("text"))
 
 
+# --- raw annotations under one schema
+
+
+def _raw_lines(spark, d):
+    path = sinks.scratch(spark, "lines")
+    u, label = table(spark, d, U), F.coalesce("original_label", F.lit("not harmful"))
+    row = F.struct("id", F.concat(F.lit("p"), F.col("row_id").cast("string"), F.lit(".png")).alias("image"), "text")
+    one, listed = (F.to_json(F.struct(row["id"].alias("id"), row["image"].alias("image"), row["text"].alias("text"), x.alias("labels"))) for x in (label, F.array(label, F.lit("x"))))
+    u.select(F.when(F.col("row_id") % 2 == 0, listed).otherwise(one).alias("value")).write.text(path)
+    return A.from_lines(spark, path, "img/a", "harmeme")
+
+
+def _raw_table(spark, d):
+    path = sinks.scratch(spark, "annotations")
+    name = F.concat(F.lit(" q"), F.col("row_id").cast("string"), F.lit(".jpg "))
+    text = T.squeeze(F.coalesce("text", F.lit("")))
+    flag = F.when(F.col("hateful").isNull(), "x").otherwise(F.col("hateful").cast("string"))
+    u = table(spark, d, U).select(name.alias("File Name"), flag.alias("Misogynous"), text.alias("Text Transcription"))
+    u.write.option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return A.from_table(S.sniffed(spark, path), "img/b", "mami")
+
+
+def _raw_map(spark, d):
+    path = sinks.scratch(spark, "votes")
+    u = table(spark, d, U)
+    record = F.struct(F.array(*[(F.col("row_id") % k).cast("int") for k in (3, 4, 2)]).alias("labels"), F.coalesce("text", F.lit("")).alias("tweet_text"))
+    docs = u.groupBy(F.floor(F.col("row_id") / 5000)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("row_id").cast("string"), record)))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    listing = u.where("row_id % 5 <> 0").select(F.col("row_id").cast("string").alias("stem"), F.concat(F.lit("img/c/"), F.col("row_id").cast("string"), F.lit(".jpeg")).alias("path"))
+    return A.from_map(S.json_map(spark, path), listing, "mmhs150k")
+
+
+_LINES_SQL = f"SELECT coalesce(id, 'p' || row_id) AS id, 'img/a/p' || row_id || '.png' AS image_path, 'harmeme' AS dataset, coalesce(text, '') AS text, (lower(coalesce(original_label, 'not harmful')) <> 'not harmful')::INTEGER AS hateful, coalesce(original_label, 'not harmful') AS original_label FROM {U}"
+_TABLE_SQL = f"SELECT 'q' || row_id AS id, 'img/b/q' || row_id || '.jpg' AS image_path, 'mami' AS dataset, {D.squeeze("coalesce(text, '')")} AS text, coalesce((hateful = 1)::INTEGER, 0) AS hateful, 'misogynous=' || coalesce(hateful::VARCHAR, 'unknown') AS original_label FROM {U}"
+_MAP_SQL = f"""SELECT row_id::VARCHAR AS id, 'img/c/' || row_id || '.jpeg' AS image_path, 'mmhs150k' AS dataset, coalesce(text, '') AS text, (len(v) >= 2)::INTEGER AS hateful,
+    CASE WHEN len(v) = 0 THEN 'NotHate' ELSE (['NotHate', 'Racist', 'Sexist', 'Homophobe', 'Religion', 'OtherHate'])[(CASE WHEN len(v) = 3 AND v[2] = v[3] THEN v[2] ELSE v[1] END) + 1] END AS original_label
+    FROM (SELECT row_id, text, list_filter([row_id % 3, row_id % 4, row_id % 2], lambda x: x <> 0) AS v FROM {U} WHERE row_id % 5 <> 0)"""
+
+
+@query("raw_lines_loader", _LINES_SQL)
+def _(spark, d):
+    return _raw_lines(spark, d)
+
+
+@query("raw_table_loader", _TABLE_SQL)
+def _(spark, d):
+    return _raw_table(spark, d)
+
+
+@query("raw_map_loader", _MAP_SQL)
+def _(spark, d):
+    return _raw_map(spark, d)
+
+
+@query("raw_unified", f"SELECT dataset, count(*) AS n, sum(hateful)::BIGINT AS hateful FROM ({_LINES_SQL} UNION ALL {_TABLE_SQL} UNION ALL {_MAP_SQL}) WHERE length(text) BETWEEN 10 AND 300 GROUP BY 1")
+def _(spark, d):
+    rows = _raw_lines(spark, d).unionByName(_raw_table(spark, d)).unionByName(_raw_map(spark, d))
+    return rows.where(F.length("text").between(10, 300)).groupBy("dataset").agg(F.count("*").alias("n"), F.sum("hateful").alias("hateful"))
+
+
 @query("json_directory_scan", f"SELECT dataset, count(*)::BIGINT AS n FROM {U} GROUP BY dataset")
 def _(spark, d):
     path = sinks.scratch(spark, "dir")
@@ -120,13 +181,13 @@ def _(spark, d):
 def _(spark, d):
     path = sinks.scratch(spark, "shards")
     rows = table(spark, d, E).select("row_id", "id", "image_path", "shard", F.col("shard").alias("part"))
-    # a file per shard and hash range keeps writers even; file names sort like shards
-    rows.repartition("part").sortWithinPartitions("part", "row_id").write.partitionBy("part").option("ignoreNullFields", False).json(path)
+    # files of a shard each, of a range of rows; their names sort like shards
+    rows.repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id").write.partitionBy("part").option("ignoreNullFields", False).json(path)
     got = spark.read.schema("row_id bigint, id string, image_path string, shard string, part string").json(path)
     return first_wins(got, F.concat_ws("\u0001", "id", "image_path"), "part", "row_id").select("row_id")
 
 
-@query("file_listing")
+@query("file_listing", "SELECT 3 AS files, 3 AS filled")
 def _(spark, d):
     path = sinks.scratch(spark, "listing")
     table(spark, d, "nation").repartition(3).write.option("header", True).csv(path)
@@ -174,7 +235,7 @@ def _(spark, d):
     return S.jsonl(spark, path, "row_id bigint").agg(F.count("*").alias("n"))
 
 
-@query("json_document")
+@query("json_document", f"""SELECT '{{"dataset":"' || dataset || '","n":' || count(*) || ',"with_group":' || count(*) FILTER (target_group <> 'null') || '}}' AS document FROM {TR} GROUP BY dataset""")
 def _(spark, d):
     t = table(spark, d, TR).groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(F.col("target_group") != "null").alias("with_group"))
     return t.select(sinks.document(F.col("dataset"), F.col("n"), F.col("with_group")).alias("document"))
