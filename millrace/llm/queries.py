@@ -131,9 +131,20 @@ def oracle_sql() -> dict[str, str]:
              p AS (SELECT *, row_number() OVER (ORDER BY n > least, (n - 0.5::DOUBLE) / share, dataset, hateful) AS place FROM k)
         SELECT row_id, dataset, hateful FROM p WHERE place <= (SELECT floor(count(*) * {quota.SHARE}::DOUBLE + 0.5::DOUBLE) FROM unified_train)
     """
+    report = f"""
+        WITH t AS (SELECT dataset, hateful, sum(target_share) AS target_share, max(min_rows)::BIGINT AS min_rows FROM sample_targets GROUP BY ALL),
+             a AS (SELECT lower(regexp_replace(dataset, '[\\s\\p{{Z}}_-]+', '', 'g')) AS dataset, hateful, count(*) AS available FROM unified_train GROUP BY ALL),
+             s AS (SELECT dataset, hateful, count(*) AS sampled FROM ({sample}) GROUP BY ALL),
+             z AS (SELECT floor(count(*) * {quota.SHARE}::DOUBLE + 0.5::DOUBLE) AS size FROM unified_train),
+             j AS (SELECT t.*, coalesce(available, 0) AS available, coalesce(sampled, 0) AS sampled, size FROM t LEFT JOIN a USING (dataset, hateful) LEFT JOIN s USING (dataset, hateful), z)
+        SELECT dataset, hateful, target_share, min_rows, available, sampled, CASE WHEN size > 0 THEN round(sampled / size, 6) ELSE 0 END AS share,
+               CASE WHEN sampled < size * target_share - 1 OR sampled < min_rows THEN CASE WHEN available = 0 THEN 'absent' WHEN available < min_rows THEN 'floor' ELSE 'exhausted' END
+                    WHEN sampled > size * target_share + 1 THEN 'shifted' END AS unmet FROM j
+    """
     return {
         "p2_found": captions + "SELECT g.keep AS keep_row_id, b.row_id AS dup_row_id FROM b JOIN g USING (bare) WHERE b.row_id <> g.keep",
         "p2_groups": captions + "SELECT keep, copies, variants FROM g",
         "p6_sample": sample,
+        "p6_report": report,
         "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
     }

@@ -18,55 +18,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.canon import dataset_name
+from millrace.operators.splits import range_digits
 
 SEED = 42
 SHARE = 0.1
-#: Hex digits of the random order that make a hash range: 16 ** RANGE_DIGITS ranges in each category.
-RANGE_DIGITS = 2
 
 
 def seats(available: dict, target: dict, floor: dict, n: int) -> dict:
     """Seats of each category among the `n` smallest (floor first, priority, category)."""
-    given = {c: 0 for c in target}
-    heap = []
+    owed = {c: min(floor[c], available.get(c, 0)) if target[c] > 0 else 0 for c in target}
+    if sum(owed.values()) >= n:  # the floors take all there is: they are filled in the same order
+        return _filled(owed, dict.fromkeys(target, 0), target, n)
+    return _filled({c: available.get(c, 0) if target[c] > 0 else 0 for c in target}, owed, target, n)
 
-    def push(c):
-        if given[c] < available.get(c, 0) and target[c] > 0:
-            r = given[c] + 1
-            heapq.heappush(heap, (r > floor[c], (r - 0.5) / target[c], c))
 
-    # whole quotas first, short of what rounding can move, so that the heap works on a few seats per category
-    for c in target:
-        if target[c] > 0:
-            given[c] = min(floor[c], available.get(c, 0))
-    if sum(given.values()) > n:
-        given = {c: 0 for c in target}
-    else:
-        open_, rest = {c for c in target if target[c] > 0 and given[c] < available.get(c, 0)}, n
-        level = 0.0
-        while open_:
-            rest = n - sum(given[c] for c in target if c not in open_)
-            level = max(0.0, rest) / sum(target[c] for c in open_)
-            full = {c for c in open_ if target[c] * level >= available[c] or target[c] * level <= floor[c]}
-            over = {c for c in full if target[c] * level >= available[c]}
-            for c in over or full:
-                given[c] = max(given[c], available[c] if c in over else min(floor[c], available[c]))
-            if not full:
-                for c in open_:
-                    given[c] = max(given[c], min(available[c], int(target[c] * level) - 2 * len(target)))
-                break
-            open_ -= over or full
-        while sum(given.values()) > n:  # rounding never takes this many; kept for safety
-            c = max((c for c in given if given[c]), key=lambda c: (given[c] > floor[c], (given[c] - 0.5) / target[c], c))
-            given[c] -= 1
+def _filled(most: dict, least: dict, target: dict, n: int) -> dict:
+    """`n` seats by priority (r - 0.5) / target, from `least` up to `most` of each category.
+
+    Whole quotas go first: the level at which they fill n seats is found by setting aside, round by round, the categories
+    that it would push beyond their most, or keep below their least. Rounding moves few seats per category, which a heap gives.
+    """
+    given = {c: min(least[c], most[c]) for c in target}
+    free = {c for c in target if target[c] > 0 and given[c] < most[c]}
+    fixed = dict(given)
+    while free:
+        level = max(0.0, n - sum(fixed[c] for c in target if c not in free)) / sum(target[c] for c in free)
+        over = {c for c in free if target[c] * level >= most[c]}
+        out = over or {c for c in free if target[c] * level <= given[c]}
+        if not out:
+            for c in free:
+                given[c] = max(given[c], min(most[c], int(target[c] * level) - 2 * len(target)))
+            break
+        for c in out:
+            fixed[c] = most[c] if c in over else given[c]
+        free -= out
     for c in target:
-        push(c)
-    left = n - sum(given.values())
-    while left > 0 and heap:
-        c = heapq.heappop(heap)[2]
+        given[c] = max(given[c], fixed[c] - 2 * len(target))
+    spare = sum(given.values()) - n
+    for c in sorted(given, key=lambda c: -(given[c] - least.get(c, 0))):  # rounding never takes this many; kept for safety
+        back = max(0, min(spare, given[c] - min(least[c], most[c])))
+        given[c] -= back
+        spare -= back
+    heap = [((given[c] + 0.5) / target[c], c) for c in target if target[c] > 0 and given[c] < most[c]]
+    heapq.heapify(heap)
+    for _ in range(n - sum(given.values())):
+        if not heap:
+            break
+        _, c = heapq.heappop(heap)
         given[c] += 1
-        left -= 1
-        push(c)
+        if given[c] < most[c]:
+            heapq.heappush(heap, ((given[c] + 0.5) / target[c], c))
     return given
 
 
@@ -110,7 +111,8 @@ def sample(rows: DataFrame, targets: DataFrame, strata: list[str], key: str = "r
     and go by no further rule; keys are expected to be unique. An empty table or target list gives no rows.
     """
     spark = rows.sparkSession
-    _, _, given, _ = _counted(rows.select(*strata), targets, strata, share)
+    _, counts, given, _ = _counted(rows.select(*strata), targets, strata, share)
+    digits = range_digits(max(counts.values(), default=0))
     given = {c: g for c, g in given.items() if g}
     if not given:
         return rows.limit(0)
@@ -119,9 +121,9 @@ def sample(rows: DataFrame, targets: DataFrame, strata: list[str], key: str = "r
     seat = spark.createDataFrame([(*c, g) for c, g in given.items()], schema)
     # rows travel as one struct, so that their columns may have any names
     keyed = rows.select(F.struct("*").alias("row"), *[F.col(s).alias(b) for b, s in zip(by, strata, strict=True)], F.col(key).alias("key"), random_order(F.col(key), seed).alias("order"))
-    keyed = keyed.withColumn("range", F.substring("order", 1, RANGE_DIGITS)).join(F.broadcast(seat), by)
+    keyed = keyed.withColumn("range", F.substring("order", 1, digits)).join(F.broadcast(seat), by)
     w = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = keyed.groupBy(*by, "range").agg(F.count("*").alias("inside"), F.first("seats").alias("seats"))  # 16 ** RANGE_DIGITS rows a category
+    ranges = keyed.groupBy(*by, "range").agg(F.count("*").alias("inside"), F.first("seats").alias("seats"))  # as many rows a category as ranges
     ranges = ranges.select(*by, "range", "inside", (F.col("seats") - F.coalesce(F.sum("inside").over(w), F.lit(0))).alias("room")).where("room > 0")
     near = keyed.drop("seats").join(F.broadcast(ranges), [*by, "range"])
     r = Window.partitionBy(*by, "range").orderBy("order", "key")

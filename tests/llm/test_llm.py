@@ -214,6 +214,12 @@ def test_seats_match_brute_force():
         assert quota.seats(available, target, floor, n) == brute_seats(available, target, floor, n)
 
 
+def test_floors_beyond_the_sample_take_no_longer():
+    target, floor = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10**9, "b": 10**9, "c": 10**8}
+    got = quota.seats({"a": 10**10, "b": 10**10, "c": 10**10}, target, floor, 10**9)
+    assert sum(got.values()) == 10**9 and got["c"] == 10**8 and abs(got["a"] / got["b"] - 5 / 3) < 1e-6
+
+
 def test_sample_and_report(spark):
     rows = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("k"), F.lit("x").alias("seats"), F.lit("y").alias("order"))
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("c", 0.1, 2), (None, 0.1, 1)], "k string, target_share double, min_rows int")
