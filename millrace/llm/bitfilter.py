@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits for each key, and bits at most (64 MB): what more keys need is dealt over several filters (see `blocks_for`).
 KEY_BITS, MOST_BITS = 32, 1 << 29
-#: 64-bit words of a page, the unit in which filters are put together.
-PAGE = 4096
+#: 64-bit words of a page, the unit in which filters are put together; keys that one task enters, about.
+PAGE, KEYS_PER_TASK = 4096, 1_000_000
 
 
 def blocks_for(keys: int) -> int:
@@ -34,32 +34,22 @@ def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
 def made(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> tuple[np.ndarray, int]:
     """The filter of all keys that `keys_of` gives for the batches of `rows`; `keys`: about how many there are.
 
-    Tasks send the words they touch to the pages they belong to; each page is put together by one task and comes to the
-    driver once: size_for(keys) bits in all.
+    Each task enters about KEYS_PER_TASK keys into a filter of its own, MOST_BITS at most, and hands the driver the pages
+    that it touched, task after task. Nothing is shuffled.
     """
     bits = size_for(keys)
 
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 64, np.uint64)
         for b in batches:
-            at = np.unique(np.concatenate(_slots(keys_of(b), bits)))
-            word, start = np.unique(at >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array((word // PAGE).astype(np.int32)), pa.array((word % PAGE).astype(np.int32)), pa.array(value.view(np.int64))], ["page", "word", "value"])
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            page, word, value = (b.column(i).to_numpy() for i in range(3))
-            order = np.argsort(page, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(page[order])) + 1):
-                if len(own):
-                    np.bitwise_or.at(held.setdefault(int(page[own[0]]), np.zeros(PAGE, np.uint64)), word[own], value[own].view(np.uint64))
-        for p, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["page", "bits"])
+            for at in _slots(keys_of(b), bits):
+                np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        for p in np.flatnonzero(own.reshape(-1, PAGE).any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([own[p * PAGE : (p + 1) * PAGE].tobytes()], pa.binary())], ["page", "bits"])
 
     out = np.zeros(bits // 64, np.uint64)
-    dealt = rows.mapInArrow(touched, "page int, word int, value bigint").repartition("page")
-    for r in dealt.mapInArrow(pages, "page int, bits binary").toLocalIterator():
+    tasks = 1 + keys // KEYS_PER_TASK
+    for r in rows.coalesce(tasks).mapInArrow(filled, "page int, bits binary").toLocalIterator():
         out[r["page"] * PAGE : (r["page"] + 1) * PAGE] |= np.frombuffer(r["bits"], np.uint64)
     return out, bits
 
