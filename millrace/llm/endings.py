@@ -30,7 +30,6 @@ DIM = 1 << 18
 TOKEN = re.compile(r"[^\W_]+(?:[-'’‑][^\W_]+)*|[.!?…]+|[,;:|/—–]")
 #: What may follow the end of a complete text: closing marks, emoji, tags and links.
 TAIL = re.compile(r"(?:\s+#\w+|\s*https?://\S+|[^\w.,!?…;:\-�]|\s)+$")
-CLOSED = re.compile(r"[^.][.!?]$|[!?]+$")
 ERROR = re.compile(r"^\s*\[\w+ ERROR\b", re.I)
 
 
@@ -49,8 +48,11 @@ def stem(text: str) -> str:
 
 def closed(text: str) -> bool:
     """Whether the text ends with a full stop, question or exclamation mark (dots of omission don't count)."""
-    s = stem(text)
-    return bool(CLOSED.search(s)) and not s.endswith("..")
+    return closed_stem(stem(text))
+
+
+def closed_stem(s: str) -> bool:
+    return s[-1:] in {"!", "?"} or s[-1:] == "." and s[-2:-1] not in {"", "."}
 
 
 def tokens(text: str) -> list[str]:

@@ -14,7 +14,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,28 +67,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+class _Codes(dict):
+    """Numbers of the tokens of a batch, each token looked at once: the hash and first letter of a word (0 for marks), and what it is to the word before it."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
+        self.letters: list[int] = []
+        self.marks: list[int] = []
+
+    def __missing__(self, token: str) -> int:
+        word = token[0].isalnum()
+        w = token.lower()
+        self.hashes.append(zlib.crc32(w.encode()) * 2_654_435_761 + zlib.adler32(w[::-1].encode()) if word else 0)
+        self.letters.append(ord(w[0]) if word else 0)
+        self.marks.append(ord(_mark(token)))
+        code = self[token] = len(self)
+        return code
+
+
 class Words:
     """The words of a batch of texts as one array of hashes: `n` of each text from `first` on, with each one's first letter and what follows it."""
 
     def __init__(self, texts: list[str]):
-        memo: dict[str, int] = {}
-        ids: list[int] = []
-        letters: list[int] = []
-        lens, after = [], []
-        for t in texts:
-            words, marks = marked_words(t)
-            for w in words:
-                h = memo.get(w)
-                if h is None:
-                    h = memo[w] = zlib.crc32(w.encode()) * 2_654_435_761 + zlib.adler32(w[::-1].encode())
-                ids.append(h)
-                letters.append(ord(w[0]))
-            lens.append(len(words))
-            after.append(marks)
-        self.ids = np.array(ids, np.uint64)
-        self.letters = np.array(letters, np.uint64)
-        self.marks = np.frombuffer("".join(after).encode(), np.uint8).astype(np.uint64)
-        self.n = np.array(lens, np.int64)
+        codes = _Codes()
+        found = [[codes[t] for t in endings.TOKEN.findall(text)] for text in texts]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum()))
+        letters, marks = np.array(codes.letters, np.uint64)[flat], np.append(np.array(codes.marks, np.uint64)[flat], [np.uint64(ord("$"))])
+        marks[np.cumsum(lens)[lens > 0]] = ord("$")  # what follows a text's last token is another text
+        at = np.flatnonzero(letters)
+        self.ids = np.array(codes.hashes, np.uint64)[flat[at]]
+        self.letters = letters[at]
+        self.marks = marks[at + 1]
+        self.n = np.bincount(np.repeat(np.arange(len(lens)), lens)[at], minlength=len(lens)).astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
 
     def shingles(self) -> np.ndarray:
@@ -119,19 +130,39 @@ def only_words(text: str) -> list[str]:
 
 
 def _band_keys(shingles: np.ndarray, first: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """For each beginning of `g` words from `first` on its BANDS keys."""
-    count = g - SHINGLE + 1
-    start = np.cumsum(count) - count
-    s = shingles[np.repeat(first - start, count) + np.arange(int(count.sum()))]
-    out = np.zeros((len(first), BANDS), np.uint64)
+    """For each beginning of `g` words from `first` on its BANDS keys.
+
+    A text's five-word runs are hashed once, however many of its beginnings are asked for: minima of the runs that each
+    length adds to the one below, and from these the minima from the text's first word on.
+    """
+    lengths, step = np.unique(g, return_inverse=True)
+    begins, own = np.unique(first, return_inverse=True)
+    most = np.zeros(len(begins), np.int64)
+    np.maximum.at(most, own, step)
+    order = np.argsort(-most, kind="stable")  # the texts of each length are the first ones of those of the length below
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    texts = np.searchsorted(-most[order], -np.arange(len(lengths)), side="right")
+    block = np.cumsum(texts) - texts
+    runs = np.diff(lengths - SHINGLE + 1, prepend=0)
+    done = lengths - SHINGLE + 1 - runs
+    s = shingles[np.concatenate([(begins[order[:t], None] + np.arange(d, d + r)).ravel() for t, d, r in zip(texts, done, runs, strict=True)])]
+    start = np.repeat(runs, texts)
+    start = np.cumsum(start) - start
+    asked, back = np.unique(block[step] + rank[own], return_inverse=True)
+    size = np.repeat(lengths, texts)[asked].astype(np.uint64) * _A
+    out = np.zeros((len(asked), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            h = g.astype(np.uint64) * _A + np.uint64(b + 1)
+            h = size + np.uint64(b + 1)
             for r in range(ROWS):
                 i = np.uint64((b * ROWS + r + 1) * int(_B) & (2**64 - 1))
-                h = _mix((h ^ np.minimum.reduceat(_mix((s ^ i) * _A), start)) * _A)
+                least = np.minimum.reduceat(_mix((s ^ i) * _A), start)
+                for t, below, at in zip(texts[1:], block, block[1:]):
+                    np.minimum(least[at : at + t], least[below : below + t], out=least[at : at + t])
+                h = _mix((h ^ least[asked]) * _A)
             out[:, b] = h
-    return out
+    return out[back]
 
 
 def _end_keys(ends: np.ndarray, g) -> np.ndarray:
@@ -160,7 +191,7 @@ def sketched_beginnings(w: Words, passes) -> tuple[np.ndarray, np.ndarray, np.nd
     """
     lengths = grid(int(w.n.max(initial=0)))
     ends, texts, sizes, places = w.ends(), [], [], []
-    for g, after in zip(lengths, [*lengths[1:], (lengths or [0])[-1] + 1], strict=True):
+    for g, after in zip(lengths, [*lengths[1:], lengths[-1] + 1] if lengths else [], strict=True):
         some = np.flatnonzero(w.n > g)
         for place in range(max(2, g - SHIFT), after + SHIFT):
             at = some[w.n[some] > place]
@@ -207,6 +238,11 @@ def runs_of(words: list[str]) -> set[tuple[str, ...]]:
 HOW = {"inside": 1, "before": 2, "open": 4, "whole": 8}
 
 
+def _mark(after: str) -> str:
+    """What follows a word (see `stops`), from the next token; none at the end of the text."""
+    return "$" if not after else "." if after[0] in ".!?…" else "A" if after[0].isupper() else " " if after[0].isalnum() else ","
+
+
 def marked_words(text: str) -> tuple[list[str], str]:
     """The words of a text in lower case, and for each what follows it (see `stops`)."""
     found = endings.TOKEN.findall(text)
@@ -215,7 +251,7 @@ def marked_words(text: str) -> tuple[list[str], str]:
         if t[0].isalnum():
             after = found[i + 1] if i + 1 < len(found) else ""
             words.append(t.lower())
-            marks.append("$" if not after else "." if after[0] in ".!?…" else "A" if after[0].isupper() else " " if after[0].isalnum() else ",")
+            marks.append(_mark(after))
     return words, "".join(marks)
 
 
@@ -302,20 +338,20 @@ def limits(values: DataFrame, source: str, column: str) -> dict[str, dict[int, f
     return out
 
 
-NO, DOUBT, WORDS, SURE = range(4)
+NONE, NO, DOUBT, WORDS, SURE = range(-1, 4)
 
 
 def verdict(text: str, source: str, model: endings.Model, marks: dict[str, dict[int, float]]) -> int:
-    """Whether the value lost its end, by itself: NO, DOUBT (closing words speak for it, not enough), WORDS (they do), or SURE (its last characters or a field limit do)."""
+    """Whether the value lost its end, by itself: NONE (it is no value, or closes with a full stop), NO, DOUBT (closing words speak for it, not enough), WORDS (they do), or SURE (its last characters or a field limit do)."""
     if not is_value(text):
-        return NO
+        return NONE
     if text.rstrip().endswith("�"):
         return SURE
     s = endings.stem(text)
     if s.endswith("-") and len(s) > 1 and s[-2].isalpha():
         return SURE
-    if endings.closed(text):
-        return NO
+    if endings.closed_stem(s):
+        return NONE
     score = model.score(text)
     limit = marks.get(source, {}).get(len(text))
     if limit is not None and not s.endswith(("...", "…")):
@@ -358,7 +394,7 @@ def flagged(values: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column(3).to_pylist()
             got = [verdict(t, s, model, marks) for t, s in zip(texts, b.column(4).to_pylist(), strict=True)]
-            rest = [t if g < SURE and (g or is_value(t) and not endings.closed(t)) else None for t, g in zip(texts, got, strict=True)]
+            rest = [t if NONE < g < SURE else None for t, g in zip(texts, got, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.int8()), pa.array(rest, pa.string())], ["src_table", "row_id", "dataset", "own", "rest"])
 
     # `rest`: unclosed values, of which a longer near-copy may tell more than they do themselves

@@ -387,6 +387,36 @@ def test_bands_of_beginnings():
     assert not len(own) and not len(keys) and not len(ends)
 
 
+def test_runs_are_hashed_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    w = truncation.Words([" ".join(f"w{i}" for i in rng.integers(0, 500, n)) for n in (3, 7, 40, 900)])
+    first, g = (np.array(x) for x in zip(*((f, g) for f, n in zip(w.first, w.n) for g in truncation.grid(int(n)) * 2)))
+    own, mixed = truncation._mix, []
+    monkeypatch.setattr(truncation, "_mix", lambda x: mixed.append(len(x)) or own(x))
+    got = truncation._band_keys(w.shingles(), first, g)
+    # each run and each different beginning once a row of a band, not each run again for all beginnings that hold it
+    assert sum(mixed) <= truncation.BANDS * truncation.ROWS * (len(w.ids) + len(g) // 2)
+    each = [truncation._band_keys(w.shingles(), first[i : i + 1], g[i : i + 1])[0] for i in range(len(g))]
+    assert np.array_equal(got, each)
+    s, i = w.shingles()[w.first[1] : w.first[1] + 3], np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        h = np.uint64(7) * i + np.uint64(1)
+        for r in range(truncation.ROWS):
+            h = own((h ^ own((s ^ np.uint64((r + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))) * i).min()) * i)
+    assert got[(first == w.first[1]) & (g == 7)][0, 0] == h
+
+
+def test_batches_of_short_values(spark):
+    w = truncation.Words(["two words", "", "...", "one, two three four"])
+    assert w.n.tolist() == [2, 0, 0, 4] and bytes(w.marks.astype(np.uint8)) == b" $,  $"
+    assert all(len(x) == 0 for x in truncation.sketched_beginnings(w, lambda keys: np.ones(keys.shape, bool)))
+    assert truncation.matched(*[strings(spark, ["two words", "one two three"], "tid bigint, value string")] * 2).count() == 0
+
+
+def test_closing_marks():
+    assert [endings.closed(t) for t in ("a.", "a!", "?", "!..", "a..", "a...", "a?.", ".", "", "a", "a.\n", 'a." ', "a…")] == [True] * 3 + [False] * 3 + [True] + [False] * 3 + [True, True, False]
+
+
 def test_flagged(spark):
     texts = ["The baker opened the window in the garden.", "The baker opened the wind�", "The nurse painted the bicy-", None, "", "n/a", "[REWRITE ERROR: x]", "unknown", "The nurse painted the bicycle on the balcony before the rain came over the hills", "The nurse painted the bicycle on the balcony before the rain came over"]
     rows = spark.createDataFrame([("t", i, "d", t) for i, t in enumerate(texts)], "src_table string, row_id bigint, dataset string, value string")
