@@ -25,10 +25,14 @@ def size_for(keys: int) -> int:
     return min(MOST_BITS, max(64 * PAGE, 1 << (KEY_BITS * max(1, keys) - 1).bit_length()))
 
 
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    mask = np.uint64(bits - 1)
+#: The places of a key in a filter, before they are cut to its size.
+_SLOTS = (lambda k: k, lambda k: k >> np.uint64(34), lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(35))
+
+
+def _slots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
-        return keys & mask, (keys >> np.uint64(34)) & mask, ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(35)) & mask
+        for slot in _SLOTS:
+            yield slot(keys) & np.uint64(bits - 1)
 
 
 def made(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], keys: int) -> tuple[np.ndarray, int]:
@@ -57,10 +61,12 @@ def made(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], keys:
 def passes(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be one of the filter's; all that are pass."""
     shape, keys = keys.shape, keys.ravel()
-    left = np.arange(len(keys))
-    for slots in _slots(keys, size):
-        at = slots[left]
-        left = left[((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    left, some = None, keys
+    for slot in _SLOTS:  # each for the keys only that passed those before
+        with np.errstate(over="ignore"):
+            at = slot(some) & np.uint64(size - 1)
+        hit = np.flatnonzero((bits[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+        left, some = hit if left is None else left[hit], some[hit]
     on = np.zeros(keys.size, bool)
     on[left] = True
     return on.reshape(shape)

@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,20 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_ids(text: str, memo: dict[str, int]) -> list[int]:
+class WordIds(dict):
+    """Hashes of words, kept while they are few enough."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        plain = re.sub(r"[\W_]+", "", w)
+        h = self[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+def word_ids(text: str, memo: WordIds) -> list[int]:
     """Hashes of the words in lower case; a link is one word, a hyphen parts words."""
-    out = []
-    for w in WORD.findall(text.lower()):
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 300_000:
-                memo.clear()
-            plain = re.sub(r"[\W_]+", "", w)
-            h = memo[w] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True)
-        out.append(h)
-    return out
+    return [memo[w] for w in WORD.findall(text.lower())]
 
 
 def edits_allowed(n):
@@ -146,10 +149,16 @@ def _key(runs: np.ndarray, length: int) -> np.ndarray:
         return _mix(runs + np.uint64(length) * _M)
 
 
-def _banded(keys: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Keys of the filter: a segment with a band of text lengths and one of places."""
+def _bands(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A band of text lengths and one of places as one number."""
+    with np.errstate(over="ignore"):
+        return (size.astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64) + np.uint64(1)) * _N
+
+
+def _banded(keys: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Keys of the filter: a segment with its bands."""
     with np.errstate(over="ignore"):
-        return _mix(keys + (size.astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64) + np.uint64(1)) * _N)
+        return _mix(keys + bands)
 
 
 def _bigrams(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +229,10 @@ def has_text(text):
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """(id, class, plain) of the rows with a text: a digest of it without its formatting, and the text with panels in order."""
-    t = rows.where(has_text(F.col("text")))
-    return t.select("id", F.unhex(F.md5(bare(F.col("text")))).alias("class"), ordered_panels(F.col("text")).alias("plain"))
+    """(id, class, plain, file) of rows (id, text, path), each: a digest of the text without its formatting, the text with panels in order (both null
+    without a text), and the file (null without one). There is no filter here: it would be pushed below, and all that it names computed twice."""
+    text, some = F.col("text"), has_text(F.col("text"))
+    return rows.select("id", F.when(some, F.unhex(F.md5(bare(text)))).alias("class"), F.when(some, ordered_panels(text)).alias("plain"), clean_path(F.col("path")).alias("file"))
 
 
 def tokenized(rows: DataFrame) -> DataFrame:
@@ -230,14 +240,14 @@ def tokenized(rows: DataFrame) -> DataFrame:
 
     Word hashes of one of its texts, their number, and for 64 kinds of words whether their number is odd.
     """
-    classes = rows.groupBy("class").agg(F.min("id").alias("cid"), F.min("plain").alias("plain"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("cid"), F.min("plain").alias("plain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        memo = WordIds()
         for b in batches:
             rows = [word_ids(t, memo) for t in b.column(1).to_pylist()]
             n = np.array([len(r) for r in rows], np.int64)
-            flat = np.fromiter((i for r in rows for i in r), np.int64, count=int(n.sum()))
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, count=int(n.sum()))
             own = np.repeat(np.arange(len(n)), n)
             bit = (_mix(flat.view(np.uint64)) >> np.uint64(58)).astype(np.int64)
             odd = np.bincount(own * 64 + bit, minlength=len(n) * 64).reshape(-1, 64) & 1
@@ -315,7 +325,7 @@ def _filter_keys(b: pa.RecordBatch) -> np.ndarray:
     for i in range(int((high - low).max(initial=-1)) + 1):
         for j in range(int((right - left).max(initial=-1)) + 1):
             on = (low + i <= high) & (left + j <= right)
-            out.append(_banded(key[on], (low + i)[on], (left + j)[on]))
+            out.append(_banded(key[on], _bands((low + i)[on], (left + j)[on])))
     return np.concatenate(out)
 
 
@@ -330,7 +340,7 @@ def _matching(train: DataFrame, bits, lengths: list[int], block: int, blocks: in
                 continue
             own = np.repeat(np.arange(len(n)), n)
             room = (first + n)[own] - np.arange(len(ids))
-            band, place = (n // BAND)[own], (np.arange(len(ids)) - first[own]) // BAND
+            bands = _bands((n // BAND)[own], (np.arange(len(ids)) - first[own]) // BAND)
             runs = None
             keys, at = [], []
             for length in range(1, max(lengths, default=0) + 1):
@@ -342,7 +352,7 @@ def _matching(train: DataFrame, bits, lengths: list[int], block: int, blocks: in
                 if blocks > 1:
                     own_block = k % np.uint64(blocks) == block
                     i, k = i[own_block], k[own_block]
-                on = bitfilter.passes(f, size, _banded(k, band[i], place[i]))
+                on = bitfilter.passes(f, size, _banded(k, bands[i]))
                 keys.append(k[on])
                 at.append(i[on])
             if not keys:
@@ -422,16 +432,16 @@ class Matches:
 def matches(train: DataFrame, evals: DataFrame, key: str = "row_id", text: str = "text", path: str = "image_path") -> Matches:
     """Overlaps as pairs between classes and files, plus the rows of each: copies aren't expanded into pairs."""
     rows_a, rows_b = (x.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(path).alias("path")) for x in (train, evals))
-    a, b = stored(prepared(rows_a)), stored(prepared(rows_b))  # canonical forms are used several times below
+    a, b = stored(prepared(rows_a)), stored(prepared(rows_b))  # canonical forms and files are used several times below
     ta, tb = stored(tokenized(a)), stored(tokenized(b))
-    ca, cb = (x.select("id", "class") for x in (a, b))
+    ca, cb = (x.where("class is not null").select("id", "class") for x in (a, b))
     found = near_classes(ta, tb)
     dropped(ta, tb)
     # classes are known by their smallest row there: its digest leads from a pair of classes to all their rows
     near = few_or_not(found).join(ca.select(F.col("id").alias("t"), F.col("class").alias("tc")), "t").join(cb.select(F.col("id").alias("e"), F.col("class").alias("ec")), "e").where("tc <> ec")
     near = stored(near.select("tc", "ec"))
     dropped(found)
-    files = (x.select("id", clean_path(F.col("path")).alias("file"), has_text(F.col("text")).alias("has_text")).where("file is not null") for x in (rows_a, rows_b))
+    files = (x.where("file is not null").select("id", "file", F.col("class").isNotNull().alias("has_text")) for x in (a, b))
     return Matches(ca, cb, near, *files)
 
 

@@ -642,6 +642,38 @@ def pair_texts(rng, n):
     return [" ".join(t) for t in train], [" ".join(t) for t in evals]
 
 
+def test_filter_looks_no_further_than_needed(spark, monkeypatch):
+    from millrace.llm import bitfilter
+
+    keys = np.random.default_rng(8).integers(-(2**63), 2**63, 30_000)
+    bits, size = bitfilter.of_column(spark.createDataFrame([(int(k),) for k in keys[:10_000]], "key bigint"))
+    seen = []
+    monkeypatch.setattr(bitfilter, "_SLOTS", tuple(lambda k, f=f: seen.append(len(k)) or f(k) for f in bitfilter._SLOTS))
+    on = bitfilter.passes(bits, size, keys.view(np.uint64).reshape(100, 300))
+    assert on.shape == (100, 300) and on.ravel()[:10_000].all() and on.ravel()[10_000:].mean() < 0.002
+    assert seen[0] == 30_000 and seen[1] < 12_000 and seen[2] < 11_000
+    assert not len(bitfilter.passes(bits, size, np.zeros(0, np.uint64)))
+
+
+def test_rows_are_prepared_once(spark):
+    a = spark.createDataFrame([(1, "the baker opened a window", "./a.jpg"), (2, None, "a.jpg"), (3, "too short", " "), (4, "", None)], "row_id bigint, text string, image_path string")
+    m = overlap.matches(a, a)
+    for x in (m.train, m.evals, m.train_files, m.eval_files):
+        assert "regexp" not in x._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.id for r in m.train.collect()] == [1]
+    assert sorted(m.train_files.collect()) == [(1, "a.jpg", True), (2, "a.jpg", False)]
+
+
+def test_plain_letters_are_never_ignored(spark):
+    chars = [chr(i) for i in range(0x500) if chr(i) not in "ßς"]
+    got = [r[0] for r in strings(spark, chars).orderBy("row_id").select(canon.bare(F.col("text"))).collect()]
+    for c, x in zip(chars, got):
+        if (k := unicodedata.category(c)) in {"Cc", "Cf", "Sm", "Sk", "Sc"} or k[0] in "PZ":
+            assert x == "", c
+        elif k[0] in "LN":
+            assert x, c
+
+
 def test_blocks_and_counts_give_the_same(spark, monkeypatch):
     from millrace.llm import bitfilter
 
